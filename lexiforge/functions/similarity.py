@@ -42,5 +42,4 @@ def may_reach(a: str, b: str, threshold: float) -> Column:
     """Cheap necessary conditions for a ratio of ``threshold``: lengths, then the thresholded edit distance."""
     la, lb = F.length(a), F.length(b)
     reach = F.least(la, lb) * 200.0 >= threshold * (la + lb)
-    budget = F.floor((la + lb) * (1 - threshold / 100.0)).cast("int")
-    return reach & F.expr(f"levenshtein({a}, {b}) <= floor((length({a}) + length({b})) * {1 - threshold / 100.0})") & (budget >= 0)
+    return reach & F.expr(f"levenshtein({a}, {b}) <= floor((length({a}) + length({b})) * {1 - threshold / 100.0} + 1e-9)")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_COMMA, _BREAK = "\x01", "\x02"
+_COMMA = "\x01"
 BLANK = r"[\s ]"
 
 
@@ -45,35 +45,25 @@ def _trim(c: Column) -> Column:
 
 def parse_cells(df: DataFrame, line: str = "raw_line") -> DataFrame:
     """Adds ``_ok`` (quoting is sound) and ``_cells`` (trimmed cell values) to each line."""
-    pieces = F.split(F.col(line), '"', -1)
-    df = df.withColumn("_pieces", pieces)
+    df = df.withColumn("_pieces", F.split(F.col(line), '"', -1))
+    # lambdas see only their own piece and its place: a reference to the whole array in them would be evaluated for each piece
     n = F.size("_pieces")
-
-    def sound(p: Column, i: Column) -> Column:
-        first, last = i == 0, i == n - 1
-        opens = p.rlike(rf"(?s)(^|,){BLANK}*+$")  # what stands before an opening quote
-        closes = p.rlike(rf"(?s)^{BLANK}*+(,|$)")  # what stands after a closing quote
-        doubled = (p == "") & ~first & ~last
-        between = closes & opens & p.contains(",")
-        return (
-            F.when(i % 2 == 1, F.lit(True))
-            .when(n == 1, F.lit(True))
-            .when(first, opens)
-            .when(last, closes)
-            .otherwise(doubled | between)
-        )
-
-    flags = F.transform("_pieces", sound)
-    hidden = F.transform(
-        "_pieces",
-        lambda p, i: F.when(i % 2 == 1, F.translate(p, ",", _COMMA))
-        .when((p == "") & (i > 0) & (i < n - 1), F.lit('"'))
-        .otherwise(p),
+    first, last = F.element_at("_pieces", 1), F.element_at("_pieces", -1)
+    middle = F.slice("_pieces", 2, F.greatest(n - 2, F.lit(0)))
+    opens = lambda p: p.rlike(rf"(?s)(^|,){BLANK}*+$")  # noqa: E731  what stands before an opening quote
+    closes = lambda p: p.rlike(rf"(?s)^{BLANK}*+(,|$)")  # noqa: E731  what stands after a closing quote
+    # in the middle odd places (from 0) are outside of quotes
+    between = F.forall(F.filter(middle, lambda p, i: i % 2 == 1), lambda p: (p == "") | (closes(p) & opens(p) & p.contains(",")))
+    sound = (n % 2 == 1) & ((n == 1) | (opens(first) & closes(last) & between))
+    inner = F.transform(
+        middle, lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", _COMMA)).when(p == "", F.lit('"')).otherwise(p)
+    )
+    text = F.when(n == 1, first).otherwise(F.concat(first, F.array_join(inner, ""), last))
+    return (
+        df.withColumn("_ok", sound)
+        .withColumn("_cells", F.transform(F.split(text, ",", -1), lambda c: _trim(F.translate(c, _COMMA, ","))))
+        .drop("_pieces")
     )
-    return df.withColumn("_ok", (n % 2 == 1) & F.forall(flags, lambda x: x)).withColumn(
-        "_cells",
-        F.transform(F.split(F.array_join(hidden, ""), ",", -1), lambda c: _trim(F.translate(c, _COMMA, ","))),
-    ).drop("_pieces")
 
 
 def rule_table(df: DataFrame, rules=KEYWORD_EXPORT) -> DataFrame:

@@ -13,7 +13,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENCODINGS = ("utf-8", "utf-8-sig", "latin-1")
+ENCODINGS = ("utf-8", "utf-8-sig", "iso-8859-1")
 # Cell texts that mean a missing value.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
@@ -43,7 +43,7 @@ def _encoding(path: str) -> str:
             return "utf-8" if e == "utf-8-sig" else e
         except UnicodeDecodeError:
             continue
-    return "latin-1"
+    return "iso-8859-1"
 
 
 def null_missing(df: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def _fuzzy(src: str) -> str:
         fp AS (SELECT x.keyword AS a, y.keyword AS b FROM fs x JOIN fs y ON lower(x.keyword[1]) = lower(y.keyword[1]) AND x.keyword < y.keyword
                AND 200.0 * least(length(x.keyword), length(y.keyword)) >= 90.0 * (length(x.keyword) + length(y.keyword))),
         fe AS (SELECT a AS src, b AS dst, 200.0 * {_LCS} / (length(a) + length(b)) AS confidence FROM fp
-               WHERE levenshtein(a, b) <= floor((length(a) + length(b)) * {1 - 90.0 / 100.0}))"""
+               WHERE levenshtein(a, b) <= floor((length(a) + length(b)) * {1 - 90.0 / 100.0} + 1e-9))"""
 
 
 _DETECT = f"""WITH RECURSIVE {_PART}, {_normalised('pk')},
