@@ -32,7 +32,8 @@ HOT_KEYS = 5_000
 
 def canonical_text(c: Column) -> Column:
     """Without letter case, white space and punctuation."""
-    return F.lower(F.upper(F.regexp_replace(c, r"[\p{P}\p{IsWhite_Space}]+", "")))
+    bare = F.regexp_replace(c, r"[\p{P}\p{IsWhite_Space}]+", "")
+    return F.regexp_replace(F.lower(F.upper(bare)), "[ßẞ]", "ss")
 
 
 def canonical_fields(c: Column) -> Column:

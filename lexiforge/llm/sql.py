@@ -9,12 +9,12 @@ _BLANK = r"\s\x{00A0}\x{0085}\x{000B}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 _RECORDS = rf"""
     rec AS (
         SELECT 'demo_keywords' AS src, row_id,
-               concat_ws(chr(31), coalesce('=' || upload_id, '-'), lower(upper(regexp_replace(keyword, '[\p{{P}}{_BLANK}]+', '', 'g'))),
+               concat_ws(chr(31), coalesce('=' || upload_id, '-'), regexp_replace(lower(upper(regexp_replace(keyword, '[\p{{P}}{_BLANK}]+', '', 'g'))), '[ßẞ]', 'ss', 'g'),
                          coalesce('=' || search_volume, '-'), coalesce('=' || language, '-'), coalesce('=' || country, '-')) AS key
         FROM demo_keywords WHERE keyword IS NOT NULL
         UNION ALL
         SELECT 'duplicate_rows', row_id,
-               concat_ws(chr(31), coalesce('=' || upload_id, '-'), lower(upper(regexp_replace(keyword, '[\p{{P}}{_BLANK}]+', '', 'g'))),
+               concat_ws(chr(31), coalesce('=' || upload_id, '-'), regexp_replace(lower(upper(regexp_replace(keyword, '[\p{{P}}{_BLANK}]+', '', 'g'))), '[ßẞ]', 'ss', 'g'),
                          coalesce('=' || volume, '-'),
                          coalesce('=' || array_to_string(list_sort(list_distinct(list_filter(list_transform(
                              string_split(lower(upper(attrs)), ';'), lambda x: regexp_replace(x, '[{_BLANK}]+', '', 'g')),
