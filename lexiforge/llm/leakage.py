@@ -34,6 +34,7 @@ COSINE = 0.35
 PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.6, 0.6
 MAX_ITEMS = 20_000
 FIT_DOCUMENTS, FIT_PASSAGES = 600, 12_000  # of the corpus, chosen by hash
+CORPUS_WEIGHT = 0.1
 BLOCK = 8_192  # words of a document worked off at a time
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -112,20 +113,25 @@ def latent_basis(items: list, sample: DataFrame, idf, rank: int = RANK, seed: in
     texts = spark.createDataFrame([(t,) for t in items], "text string").repartition(4)
     corpus = sample.select("text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
 
-    def vectors(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def scaled(scale: float):
+        def vectors(batches: Iterator) -> Iterator:
+            import pandas as pd
 
-        h = Hasher()
-        for pdf in batches:
-            rows = [(d.tolist(), w.tolist()) for _, _, d, w in _passage_vectors(pdf["text"], idf, h)]
-            yield pd.DataFrame(rows, columns=["dims", "weights"])
+            h = Hasher()
+            for pdf in batches:
+                rows = [(d.tolist(), (w * scale).tolist()) for _, _, d, w in _passage_vectors(pdf["text"], idf, h)]
+                yield pd.DataFrame(rows, columns=["dims", "weights"])
+
+        return vectors
 
+    # the sample weighs CORPUS_WEIGHT of the items, else the corpus' own topics would crowd out the space to search in
+    n_items = sum(len(window_starts(len(words_of(t)))) for t in items)
     schema = "dims array<int>, weights array<float>"
-    all_corpus = corpus.mapInPandas(vectors, schema)
+    all_corpus = corpus.mapInPandas(scaled(float(np.sqrt(CORPUS_WEIGHT * n_items / FIT_PASSAGES))), schema)
     few = (
         all_corpus.withColumn("_h", F.xxhash64("dims", "weights")).orderBy("_h").limit(FIT_PASSAGES).drop("_h")
     )  # a top-k by hash: the sample is uniform and the same on every run
-    passages = cut(texts.mapInPandas(vectors, schema).unionByName(few).repartition(6))
+    passages = cut(texts.mapInPandas(scaled(1.0), schema).unionByName(few).repartition(6))
     block = DIMS // 16
 
     def product(basis):
@@ -222,6 +228,7 @@ def search_words(ids, ws: list[str], index: ItemIndex, idf, basis, cosine: float
     import numpy as np
 
     found: dict[int, list] = {}
+    span = np.arange(WINDOW)
     for begin in range(0, max(1, len(ids)), BLOCK - WINDOW):
         own = ids[begin : begin + BLOCK]
         if begin and len(own) <= WINDOW:
@@ -239,11 +246,12 @@ def search_words(ids, ws: list[str], index: ItemIndex, idf, basis, cosine: float
         keep = np.flatnonzero(bound >= cosine)
         for at in range(0, len(keep), 256):
             few = keep[at : at + 256]
-            x = np.empty((len(few), basis.shape[1]), dtype=np.float32)
-            for n, k in enumerate(few):
-                dims, counts = np.unique(own[starts[k] : ends[k]], return_counts=True)
-                w = counts * idf[dims]
-                x[n] = (w / np.linalg.norm(w)) @ basis[dims]
+            # a repeated word adds up like its count; the norm then counts it once too often at most, so no cosine is lowered
+            at_words = np.minimum(starts[few][:, None] + span, len(own) - 1)
+            inside = at_words < ends[few][:, None]
+            weights = np.where(inside, weight[at_words], 0).astype(np.float32)
+            x = np.einsum("ij,ijk->ik", weights, basis[own[at_words]], optimize=True)
+            x /= np.sqrt(norm2[few])[:, None].astype(np.float32)
             cos = x @ index.vectors.T
             for n, p in zip(*np.nonzero(cos >= cosine)):
                 k, item = few[n], int(index.owner[p])
