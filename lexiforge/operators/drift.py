@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.runtime import cut
+
 #: Names under which exports carry each quantity (lower case, words separated by one blank).
 KNOWN_NAMES = {
     "keyword": ("keyword", "search keyword", "search term", "kw", "query"),
@@ -92,8 +94,9 @@ def consecutive_files(files: DataFrame) -> DataFrame:
 
 def schema_changes(files: DataFrame, rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
     """(file_id, change, old_field, new_field) for added, removed, renamed and retyped fields."""
-    schemas = file_schemas(rows).withColumn("quantity", quantity(F.col("field"), names))
-    pairs = consecutive_files(files)
+    # one row a field of a file, so small beside the records; written once, as both sides of each comparison read it
+    schemas = cut(file_schemas(rows).withColumn("quantity", quantity(F.col("field"), names)))
+    pairs = cut(consecutive_files(files))
     cols = ["field", "kind", "quantity", "_length", "_size", "_marks"]
     new = pairs.join(schemas, "file_id").select("file_id", *cols)
     old = pairs.join(schemas.withColumnRenamed("file_id", "before_id"), "before_id").select("file_id", *cols)
