@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.similarity import indel_ratio, may_reach
-from lexiforge.runtime import cut
+from lexiforge.runtime import cut, join_unique
 
 THRESHOLD, MIN_CONFIDENCE, MAX_GROUP = 90.0, 80.0, 50
 
@@ -146,7 +146,7 @@ def mark_status(df: DataFrame, grouped: DataFrame, column: str = "keyword", orde
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
     member = grouped.select(F.col("member").alias(column), "group_id", (F.col("member") != F.col("canonical")).alias("_other"))
     strings = first.join(member, column, "left")  # one row a string
-    out = df.join(strings, column, "left")
+    out = join_unique(df, strings, column)
     dup = (F.col(order) != F.col("_first")) | F.coalesce("_other", F.lit(False))
     return out.withColumn("status", F.when(dup, "DUPLICATE").otherwise("ACTIVE")).drop("_first", "_other")
 

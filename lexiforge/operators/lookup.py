@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.runtime import join_unique
+
 TWO32 = 1 << 32
 
 
@@ -106,7 +108,7 @@ def run_batches(wanted: DataFrame, provider: Callable[[list[str]], list[dict]],
 def merge_results(df: DataFrame, results: DataFrame, columns: list[str], order: str = "ord", column: str = "keyword") -> DataFrame:
     """Left look-up join: the last result of each keyword goes to all its rows; rows without one keep their values."""
     last = results.groupBy(column).agg(F.max_by(F.struct(*columns), order).alias("_r"))
-    joined = df.join(last, column, "left")
+    joined = join_unique(df, last, column)
     kept = [F.coalesce(F.col(f"_r.{c}"), F.col(c)).alias(c) if c in df.columns else F.col(f"_r.{c}").alias(c) for c in columns]
     return joined.select(*[c for c in df.columns if c not in columns], *kept)
 
