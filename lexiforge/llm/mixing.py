@@ -17,19 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.tokens import with_token_counts
-from lexiforge.runtime import bounded_rows
+from lexiforge.runtime import bounded_rows, cut
 
 MAX_SOURCES = 100_000
 MAX_CAP = 10_000
 
 
-def source_sizes(documents: DataFrame, path: str | None = None) -> DataFrame:
+def source_sizes(sized: DataFrame) -> DataFrame:
     """(source, n_docs, n_tokens): reduced on the map side, so a source with a third of all rows is no hot group."""
-    return (
-        with_token_counts(documents.select("source", "text"), path=path)
-        .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    )
+    return sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def sized_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens) of all documents."""
+    return with_token_counts(documents.select("doc_id", "source", "text"), path=path)
 
 
 def cut_mean(lam: float, cap: int) -> float:
@@ -61,9 +62,9 @@ def poisson_steps(rate: float, cap: int) -> list[float]:
     return steps
 
 
-def mixing_plan(documents: DataFrame, plan: DataFrame, path: str | None = None) -> DataFrame:
+def mixing_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """One row a planned source: sizes, wanted and possible rate, whether it reaches its share, and the inverted distribution."""
-    sizes = {r.source: r for r in bounded_rows(source_sizes(documents, path), MAX_SOURCES, "the sources")}
+    sizes = {r.source: r for r in bounded_rows(source_sizes(sized), MAX_SOURCES, "the sources")}
     total = sum(r.n_tokens or 0 for r in sizes.values())
     rows = []
     for r in bounded_rows(plan.select("source", "target_share", "max_repeats"), MAX_SOURCES, "the plan"):
@@ -72,7 +73,7 @@ def mixing_plan(documents: DataFrame, plan: DataFrame, path: str | None = None)
         wanted = share * total
         rate = float(min(wanted / own, cap)) if own else 0.0
         rows.append((r.source, share, cap, own, total, rate, not wanted > cap * own, poisson_steps(rate, cap)))
-    return documents.sparkSession.createDataFrame(
+    return sized.sparkSession.createDataFrame(
         rows,
         "source string, target_share double, max_repeats long, own_tokens long, all_tokens long, rate double, reachable boolean, steps array<double>",
     )
@@ -83,28 +84,31 @@ def uniform(column: str, seed: int):
     return (F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))).cast("double")
 
 
-def mix(documents: DataFrame, plan: DataFrame, seed: int = 7, path: str | None = None, keep_text: bool = True) -> DataFrame:
-    """(doc_id, source, copy_no, n_tokens, place[, text]): the drawn documents, spread over all partitions by ``place``."""
-    planned = F.broadcast(mixing_plan(documents, plan, path).select("source", "steps"))  # one row a source, bounded
-    cols = ["doc_id", "source"] + (["text"] if keep_text else [])
-    sized = with_token_counts(documents.select("doc_id", "source", F.col("text").alias("_t"), *cols[2:]), text="_t", path=path)
-    drawn = sized.join(planned, "source").withColumn(
-        "copies", F.size(F.filter("steps", lambda s: uniform("doc_id", seed) >= s))
-    )
-    copies = drawn.filter("copies > 0").select(
-        *cols, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")
-    )
+def drawn(docs: DataFrame, plan_rows: DataFrame, seed: int) -> DataFrame:
+    """Adds ``copies``, the number of times each document of a planned source is drawn."""
+    steps = F.broadcast(plan_rows.select("source", "steps"))  # one row a source, bounded
+    below = F.filter("steps", lambda s: uniform("doc_id", seed) >= s)
+    return docs.join(steps, "source").withColumn("copies", F.size(below).cast("long")).drop("steps")
+
+
+def mix(documents: DataFrame, plan: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
+    """(doc_id, source, text, copy_no, place): the drawn documents, spread over all partitions and ordered in each by ``place``.
+
+    Texts are tokenised once, for the sizes; drawing needs the id alone.
+    """
+    plan_rows = mixing_plan(sized_documents(documents, path), plan)
+    few = drawn(documents.select("doc_id", "source", "text"), plan_rows, seed).filter("copies > 0")
+    copies = few.select("doc_id", "source", "text", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
     placed = copies.withColumn("place", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1)))
-    return placed.repartitionByRange("place").sortWithinPartitions("place")
+    return placed.repartition("place").sortWithinPartitions("place")
 
 
 def shares(documents: DataFrame, plan: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
     """(source, target_share, actual_share, n_docs, n_copies, n_tokens, reachable): what a draw reaches."""
-    mp = mixing_plan(documents, plan, path)
-    sized = with_token_counts(documents.select("doc_id", "source", "text"), path=path)
-    drawn = (
-        sized.join(F.broadcast(mp.select("source", "steps")), "source")
-        .withColumn("copies", F.size(F.filter("steps", lambda s: uniform("doc_id", seed) >= s)).cast("long"))
+    sized = cut(sized_documents(documents, path))
+    mp = mixing_plan(sized, plan)
+    got = (
+        drawn(sized, mp, seed)
         .groupBy("source")
         .agg(
             F.count_if(F.col("copies") > 0).alias("n_docs"),
@@ -112,8 +116,8 @@ def shares(documents: DataFrame, plan: DataFrame, seed: int = 7, path: str | Non
             F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"),
         )
     )
-    reached = mp.select("source", "target_share", "reachable").join(drawn, "source", "left")
-    whole = drawn.agg(F.sum("n_tokens").alias("whole"))
+    reached = mp.select("source", "target_share", "reachable").join(got, "source", "left")
+    whole = got.agg(F.sum("n_tokens").alias("whole"))
     return reached.crossJoin(F.broadcast(whole)).select(  # one row
         "source",
         "target_share",

@@ -80,7 +80,8 @@ def p8_report(s, d):
 
 
 def p9_found(s, d):
-    return mixing.mixing_plan(table(s, d, "documents"), table(s, d, "source_plan")).filter("not reachable").select("source")
+    sized = mixing.sized_documents(table(s, d, "documents"))
+    return mixing.mixing_plan(sized, table(s, d, "source_plan")).filter("not reachable").select("source")
 
 
 def p9_shares(s, d):

@@ -26,7 +26,7 @@ def test_shares_are_met_and_caps_kept(spark):
     plan = spark.createDataFrame([("big", 0.5, 2, 9, 0), ("mid", 0.3, 5, 9, 0), ("small", 0.2, 1, 9, 0), ("none", 0.0, 1, 9, 0)], PLAN)
     df = docs(spark, rows)
     got = {r.source: r for r in mixing.shares(df, plan).collect()}
-    assert {r.source for r in mixing.mixing_plan(df, plan).filter("not reachable").collect()} == {"small"}
+    assert {r.source for r in mixing.mixing_plan(mixing.sized_documents(df), plan).filter("not reachable").collect()} == {"small"}
     reached = {s: got[s].n_tokens for s in got}
     whole = sum(tokens_of(rows).values())
     assert abs(reached["big"] / (0.5 * whole) - 1) < 0.06 and abs(reached["mid"] / (0.3 * whole) - 1) < 0.12
