@@ -65,6 +65,5 @@ def cascade(keywords: DataFrame, rules: DataFrame, column: str = "keyword") -> D
 
 def match_counts(keywords: DataFrame, found: DataFrame) -> DataFrame:
     """(kind, matches, misses): keywords with and without an entity of each kind."""
-    n = keywords.agg(F.count(F.lit(1)).alias("_n"))
-    hit = found.select("row_id", "kind").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("matches"))
-    return hit.crossJoin(n).select("kind", "matches", (F.col("_n") - F.col("matches")).alias("misses"))  # one row on the right
+    hit = found.groupBy("kind").agg(F.count_distinct("row_id").alias("matches"))
+    return hit.select("kind", "matches", (F.lit(keywords.count()) - F.col("matches")).alias("misses"))

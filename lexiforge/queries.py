@@ -97,8 +97,8 @@ def schema_projection(s, d):
 def column_resolution(s, d):
     """Every field name of the feeds against the names of the keyword column."""
     names = drift.cells(table(s, d, "feed_rows")).select(F.trim(F.lower("field")).alias("field")).distinct()
-    alias = s.createDataFrame([(a,) for a in schema.KEYWORD_ALIASES], "alias string")
-    scored = names.join(F.broadcast(alias)).withColumn("score", indel_ratio("field", "alias"))  # a fixed list of 13 names
+    aliases = F.array(*[F.lit(a) for a in schema.KEYWORD_ALIASES])
+    scored = names.select("field", F.explode(aliases).alias("alias")).withColumn("score", indel_ratio("field", "alias"))
     best = scored.groupBy("field").agg(F.max("score").alias("score"))
     method = F.when(F.col("field") == "keyword", "EXACT").when(F.col("field").isin(*schema.KEYWORD_ALIASES), "ALIAS").when(F.col("score") >= 90, "FUZZY").otherwise("NONE")
     shown = F.when(method == "EXACT", 100.0).when(method == "ALIAS", 95.0).otherwise(F.round("score", 2))
