@@ -116,12 +116,13 @@ def shares(documents: DataFrame, plan: DataFrame, seed: int = 7, path: str | Non
             F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"),
         )
     )
+    got = cut(got)  # one row a source
+    whole = got.agg(F.sum("n_tokens")).first()[0] or None
     reached = mp.select("source", "target_share", "reachable").join(got, "source", "left")
-    whole = got.agg(F.sum("n_tokens").alias("whole"))
-    return reached.crossJoin(F.broadcast(whole)).select(  # one row
+    return reached.select(
         "source",
         "target_share",
-        (F.coalesce("n_tokens", F.lit(0)) / F.when(F.col("whole") > 0, F.col("whole"))).alias("actual_share"),
+        (F.coalesce("n_tokens", F.lit(0)) / F.lit(whole).cast("double")).alias("actual_share"),
         F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
         F.coalesce("n_copies", F.lit(0)).alias("n_copies"),
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
