@@ -7,7 +7,7 @@ Null text counts as empty. After the Unicode fold the text is ASCII, so word bou
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -51,10 +51,10 @@ def fold_unicode(c: Column) -> Column:
     single = {k: v for k, v in table.items() if len(v) == 1 and len(k.encode("utf-16-le")) == 2}
     other = {k: v for k, v in table.items() if k not in single}
     swapped = F.translate(c, "".join(single), "".join(single.values()))
-    pairs = F.create_map(*[F.lit(x) for kv in other.items() for x in kv])
+    pairs = F.from_json(F.lit(json.dumps(other)), "map<string,string>")  # one literal, folded to a map by the optimizer
     expanded = F.array_join(F.transform(F.split(swapped, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), "")
-    rare = "[" + "".join(re.escape(k) for k in other) + "]"
-    folded = F.when(swapped.rlike(rare), expanded).otherwise(swapped)
+    has_rare = F.translate(swapped, "".join(other), "") != swapped  # a class of so many characters is slow in a pattern
+    folded = F.when(has_rare, expanded).otherwise(swapped)
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(c)
 
 
