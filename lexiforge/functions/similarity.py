@@ -42,4 +42,5 @@ def may_reach(a: str, b: str, threshold: float) -> Column:
     """Cheap necessary conditions for a ratio of ``threshold``: lengths, then the thresholded edit distance."""
     la, lb = F.length(a), F.length(b)
     reach = F.least(la, lb) * 200.0 >= threshold * (la + lb)
-    return reach & F.expr(f"levenshtein({a}, {b}) <= floor((length({a}) + length({b})) * {1 - threshold / 100.0} + 1e-9)")
+    budget = f"cast(floor((length({a}) + length({b})) * {1 - threshold / 100.0} + 1e-9) as int)"
+    return reach & F.expr(f"levenshtein({a}, {b}, {budget}) >= 0")  # -1 as soon as the budget is spent
