@@ -257,7 +257,7 @@ def search_words(ids, ws: list[str], index: ItemIndex, idf, basis, cosine: float
                 k, item = few[n], int(index.owner[p])
                 s, e = begin + int(starts[k]), begin + int(ends[k])
                 got = found.setdefault(item, [0.0, 0, 0.0, False, set()])
-                c = float(cos[n, p])
+                c = min(1.0, float(cos[n, p]))  # a repeated word may lift it a little above
                 got[0] = max(got[0], c)
                 if (s, "run") not in got[4]:
                     got[4].add((s, "run"))
