@@ -1,21 +1,24 @@
 """Duplicate detection: exact, normalised and fuzzy edges, connected components, election, marking.
 
-Edges run between distinct strings, never between rows. Fuzzy candidates come from an index of segments (of k + 1 even
-segments of the shorter string one must reappear unchanged near its place if at most k edits separate the two), so no
-group emits all its pairs; components are found by label propagation over DataFrames with the lineage cut in the shared folder.
+Edges run between distinct strings, never between rows. Fuzzy pairs are sought among all pairs of a first letter, in tiles of
+bounded size, so no task holds a whole block and only pairs that reach the threshold leave a tile; components are found by label propagation over DataFrames with the lineage cut in the shared folder.
 
 Null keywords are no duplicates. Ties are broken by length, then by the string. Empty inputs give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.functions.similarity import indel_ratio, may_reach
+from lexiforge.operators.nearpairs import near_pairs
 from lexiforge.runtime import cut, join_unique
 
 THRESHOLD, MIN_CONFIDENCE, MAX_GROUP = 90.0, 80.0, 50
+TILE, MAX_TASKS = 10_000, 2_000
 
 
 def exact_edges(df: DataFrame, column: str = "keyword") -> DataFrame:
@@ -44,51 +47,33 @@ def prefix_block(column: str = "keyword", n: int = 1):
     return F.lower(F.substring(column, 1, n))
 
 
-def segment_candidates(strings: DataFrame, threshold: float = THRESHOLD, column: str = "keyword") -> DataFrame:
-    """(a, b): pairs with the same block letter, lengths in reach, and a segment in common; a is the shorter or the lesser one.
+def _compare(threshold: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile = pd.concat(list(frames))
+        left, right = tile["s"][tile["part"] == tile["i"]], tile["s"][tile["part"] != tile["i"]]
+        own = tile["i"].iat[0] == tile["j"].iat[0]
+        for a, b, confidence in near_pairs(left.tolist(), None if own else right.tolist(), threshold):
+            yield pd.DataFrame({"a": a, "b": b, "confidence": confidence})
 
-    For a pair of lengths la <= lb at the threshold at most k = (1 - t)(la + lb) edits separate the two, with lb <= la t' where
-    t' = (2 - t) / t; so k is bounded by the shorter length alone, and a is cut into k + 1 segments.
-    """
-    t = threshold / 100.0
-    longest = (2 - t) / t
-    s = strings.select(F.col(column).alias("s")).filter(F.length("s") > 0).distinct().withColumn("l", F.length("s"))
-    k = F.floor((1 - t) * (1 + longest) * F.col("l") + 1e-9).cast("int")
-    place = lambda i: F.floor(i * F.col("l") / (F.col("k") + 1)).cast("int")
-    index = (
-        s.withColumn("k", k)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-        .withColumn("at", place(F.col("i")))
-        .withColumn("n", place(F.col("i") + 1) - F.col("at"))
-        .filter("n > 0")
-        .select(prefix_block("s").alias("block"), F.col("l").alias("la"), "i", F.expr("substring(s, at + 1, n)").alias("seg"), F.col("s").alias("a"))
-    )
-    # a probe looks for the segments of every shorter length in reach, near the place of the segment
-    probe = (
-        s.withColumn("la", F.explode(F.sequence(F.ceil(F.col("l") / longest - 1e-9).cast("int"), F.col("l"))))
-        .withColumn("k", F.floor((1 - t) * (F.col("la") + F.col("l")) + 1e-9).cast("int"))
-        .withColumn("kk", F.floor((1 - t) * (1 + longest) * F.col("la") + 1e-9).cast("int"))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("kk"))))
-        .withColumn("at", F.floor(F.col("i") * F.col("la") / (F.col("kk") + 1)).cast("int"))
-        .withColumn("n", F.floor((F.col("i") + 1) * F.col("la") / (F.col("kk") + 1)).cast("int") - F.col("at"))
-        .filter("n > 0")
-        .withColumn("from", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.least(F.col("l") - F.col("n"), F.col("at") + F.col("k")))))
-        .filter(F.expr("`from` >= 0 and `from` + n <= l"))
-        .select(prefix_block("s").alias("block"), "la", "i", F.expr("substring(s, `from` + 1, n)").alias("seg"), F.col("s").alias("b"))
-        .distinct()
-    )
-    return (
-        index.join(probe, ["block", "la", "i", "seg"])
-        .filter((F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))))
-        .select("a", "b")
-        .distinct()
-    )
+    return run
 
 
 def fuzzy_edges(strings: DataFrame, threshold: float = THRESHOLD, column: str = "keyword") -> DataFrame:
-    """Edges between distinct strings of a block whose Indel ratio reaches the threshold; src < dst."""
-    scored = segment_candidates(strings, threshold, column).filter(may_reach("a", "b", threshold)).withColumn("confidence", indel_ratio("a", "b"))
-    return scored.filter(F.col("confidence") >= threshold).select(
+    """Edges between distinct strings of a block whose Indel ratio reaches the threshold; src < dst.
+
+    A block of n strings is dealt to m = n / TILE parts by hash; each pair of parts is a tile, in which all pairs are compared.
+    """
+    s = cut(strings.select(F.col(column).alias("s")).filter(F.length("s") > 0).distinct().withColumn("block", prefix_block("s")))
+    blocks = cut(s.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("m")))
+    n_tiles = blocks.agg(F.sum(F.expr("m * (m + 1L) / 2")).cast("long")).first()[0] or 1
+    tiles = (
+        s.join(blocks, "block")
+        .withColumn("part", F.pmod(F.xxhash64("s"), F.col("m")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        .select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "s")
+        .repartition(min(n_tiles, MAX_TASKS), "block", "i", "j")
+    )
+    return tiles.groupBy("block", "i", "j").applyInPandas(_compare(threshold), "a string, b string, confidence double").select(
         F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("fuzzy").alias("strategy"), "confidence"
     )
 

@@ -145,6 +145,27 @@ def dedup_stats(s, d):
     return dedup.dedup_statistics(edges, marked)
 
 
+# the same over the whole keyword table: no SQL twins, as SQL would score every pair of a first letter
+
+
+def keyword_fuzzy_edges(s, d):
+    return dedup.fuzzy_edges(_kw(s, d)).select("src", "dst", F.round("confidence", 4).alias("confidence"))
+
+
+def keyword_groups(s, d):
+    edges, _ = dedup.detect(_kw(s, d))
+    return dedup.groups(edges).select("canonical", "member")
+
+
+def keyword_status(s, d):
+    return dedup.detect(_kw(s, d))[1].select("row_id", "keyword", "status")
+
+
+def keyword_stats(s, d):
+    edges, marked = dedup.detect(_kw(s, d))
+    return dedup.dedup_statistics(edges, marked)
+
+
 def keyword_components(s, d):
     """Components of keywords that share a light key, over the whole keyword table."""
     return dedup.components(dedup.normalised_edges(_kw(s, d)))
@@ -370,7 +391,8 @@ def queries() -> dict:
         "p5_found p5_unified p5_union p7_found p7_clean"
         " norm_case_whitespace norm_unicode_fold norm_punctuation norm_dictionary norm_company_dictionary norm_units norm_lemmas norm_numeric"
         " norm_stop_words norm_token_sort norm_engine norm_metrics string_functions profile_keys schema_projection column_resolution"
-        " drop_empty_and_repeats dedup_exact dedup_normalized dedup_fuzzy_edges dedup_groups dedup_status dedup_stats keyword_components"
+        " drop_empty_and_repeats dedup_exact dedup_normalized dedup_fuzzy_edges dedup_groups dedup_status dedup_stats"
+        " keyword_fuzzy_edges keyword_groups keyword_status keyword_stats keyword_components"
         " blocking_prefix blocking_length extract_navigation extract_headings extract_url_segments extract_links page_text url_filter"
         " crawl_budget entity_evidence taxonomy_edges entity_split family_mining alias_mining synonym_mining brand_canonical fact_warnings"
         " profile_quality match_all match_first match_profile match_counts match_cascade lookup_volume lookup_classes lookup_cache_split"

@@ -48,3 +48,26 @@ def test_components_of_chains_stars_and_hubs(spark):
 def test_empty_input(spark):
     edges, marked = dedup.detect(frame(spark, ["x"]).limit(0))
     assert edges.collect() == [] and marked.collect() == []
+
+
+def test_tiles_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.choice([9, 10, 11, 20]))) for _ in range(120)} | {"a" * 70 + "".join(rng.choice("xyé") for _ in range(9)) for _ in range(12)})
+    want = {(a, b) for a, b in itertools.combinations(words, 2) if a[0] == b[0] and ratio(a, b) >= 90}
+    monkeypatch.setattr(dedup, "TILE", 20)
+    got = [(r.src, r.dst) for r in dedup.fuzzy_edges(frame(spark, words)).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_queries_cover_the_whole_keyword_table(spark):
+    from lexiforge import queries
+
+    d = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{d}/demo_keywords.parquet")
+    rows = [r.keyword for r in table.collect()]
+    marked = queries.keyword_status(spark, d).collect()
+    assert sorted(r.row_id for r in marked) == sorted(r.row_id for r in table.collect())
+    words = sorted({w for w in rows if w})
+    near = lambda a, b: a[0].lower() == b[0].lower() and 2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b)) and ratio(a, b) >= 90
+    want = {(a, b) for a, b in itertools.combinations(words, 2) if near(a, b)}
+    assert {(r.src, r.dst) for r in queries.keyword_fuzzy_edges(spark, d).collect()} == want and want
