@@ -10,28 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORDS = 6
-
 
 def word_text(c: Column) -> Column:
     """Words of letters and digits, lower case, one blank between."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def word_runs(keywords: DataFrame, column: str, longest: int = MAX_WORDS) -> DataFrame:
-    """(row_id, run): the distinct runs of up to ``longest`` words of each keyword."""
+def word_runs(keywords: DataFrame, column: str, lengths: list[int]) -> DataFrame:
+    """(row_id, run): the distinct runs of each keyword that have one of these numbers of words."""
     words = F.split(word_text(F.col(column)), " ")
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("_w"))
     runs = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " ")))
+        F.transform(fitting, lambda n: F.transform(
+            F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " ")))
     )
     return keywords.select("row_id", words.alias("_w")).select("row_id", F.explode(F.array_distinct(runs)).alias("run")).filter("run <> ''")
 
 
-def contained(keywords: DataFrame, entities: DataFrame, column: str = "keyword", longest: int = MAX_WORDS) -> DataFrame:
-    """(row_id, kind, ord, entity): every entity contained in each keyword; entities are (kind, ord, entity)."""
+def contained(keywords: DataFrame, entities: DataFrame, column: str = "keyword") -> DataFrame:
+    """(row_id, kind, ord, entity): every entity contained in each keyword; entities are (kind, ord, entity).
+
+    The runs have just the numbers of words that occur among the entities.
+    """
     patterns = entities.select("kind", "ord", "entity", word_text(F.col("entity")).alias("run")).filter("run <> ''")
-    return word_runs(keywords, column, longest).join(patterns, "run").select("row_id", "kind", "ord", "entity").distinct()
+    lengths = sorted(r[0] for r in patterns.select(F.size(F.split("run", " "))).distinct().collect())
+    return word_runs(keywords, column, lengths).join(patterns, "run").select("row_id", "kind", "ord", "entity").distinct()
 
 
 def first_match(found: DataFrame) -> DataFrame:

@@ -38,6 +38,14 @@ def test_csv_and_workbook_round_trip(spark, tmp_path):
         files.read_workbook(spark, str(tmp_path / "w.xlsx"), "None")
 
 
+def test_entities_of_many_words_match(spark):
+    long = "one two three four five six seven eight"
+    kw = spark.createDataFrame([(1, f"buy {long} now"), (2, "one two three"), (3, None)], "row_id long, keyword string")
+    ent = spark.createDataFrame([("category", 1, long.title()), ("brand", 2, "Two"), ("brand", 3, "!")], "kind string, ord int, entity string")
+    assert {(r.row_id, r.entity) for r in match.contained(kw, ent).collect()} == {(1, long.title()), (1, "Two"), (2, "Two")}
+    assert match.contained(kw, ent.limit(0)).collect() == []
+
+
 def test_matching_is_by_words_and_in_order(spark):
     kw = spark.createDataFrame([(1, "best ThinkPad for business"), (2, "thinkpads"), (3, None), (4, "lenovo vs apple laptop")], "row_id long, keyword string")
     ent = spark.createDataFrame([("brand", 2, "Apple"), ("brand", 1, "Lenovo"), ("category", 1, "Laptop"), ("family", 1, "ThinkPad"), ("brand", 3, "!")], "kind string, ord long, entity string")
