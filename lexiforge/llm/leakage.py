@@ -1,41 +1,45 @@
 """Evaluation texts leaking into training text, found by latent semantic retrieval.
 
-Passages (windows of words) of the test items are the index, the passages of all documents are searched against it:
+Passages are windows of ``RUN`` words, of the items one at each word:
 1. document frequencies of hashed words over all documents (map-side reduced to one vector a partition);
-2. a distributed randomised SVD of TF-IDF passages: all passages of the items, and of the corpus a documented,
-   bounded sample (``FIT_PASSAGES``); the partial products are summed block by block on the executors;
-3. every passage of every document is projected into the latent space, and cosines with all passages of the items are
-   computed in blocks. A cheap upper bound of the cosine (the share of the passage's weight that lies on words of the items) skips
-   the product where the threshold can't be reached;
-4. candidates are checked on the words themselves: the longest run of consecutive common words, and for paraphrases
-   the longest common subsequence with the item's passage and whether the item's answer stands nearby.
-
-The only things broadcast are the item side, which is a bounded reference table (``MAX_ITEMS``), and matrices of fixed
-size. Documents are never shuffled whole; hot sources, copies or keys don't matter, as a document is worked off where it is.
-Null and empty texts match nothing; items shorter than the run give no run; repeated items are reported each.
+2. a distributed randomised SVD of TF-IDF passages: of the items, and of the corpus a documented, bounded sample
+   (``FIT_DOCUMENTS``, ``FIT_PASSAGES``); the partial products are summed block by block on the executors;
+3. windows of every document whose weight lies on words of one item are projected into the latent space and compared, by the
+   cosine there, with the passages of just those items. A window all of whose words stand in an item is always compared, and equal
+   passages have cosine 1 in any latent space: a run of ``RUN`` common words is found whatever the rank and the sample;
+4. candidates are checked on the words themselves: the longest run of consecutive common words, and for paraphrases the longest
+   common subsequence with the item's passage and whether the item's answer stands in the document.
+
+Items are worked off in blocks of bounded size (``MAX_ITEMS`` items, ``MAX_ITEM_CHARS`` characters), so what is broadcast stays bounded and any number of
+items can be searched for; the matrices have a fixed size. Documents are never shuffled whole; hot sources, copies or keys don't
+matter, as a document is worked off where it is, whole and at any length. Null and empty texts match nothing; items shorter than the run
+give no run; repeated items are reported each.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.runtime import bounded_rows, cut
+from lexiforge.runtime import cut
 
 DIMS = 1 << 14  # hashed words
-RANK = 256
-WINDOW, STEP = 18, 6  # a run of 12 words lies whole in one of these windows
-RUN = 12
-COSINE = 0.35
-PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.6, 0.6
-MAX_ITEMS = 20_000
+RANK = 128
+RUN = 12  # words of a passage
+FIT_STEP = 6  # words between the passages of the fit
+COSINE = 0.98  # of a passage taken over word by word; such ones have 1
+PARAPHRASE_STEP = 4  # words between windows
+PARAPHRASE_WORDS, PARAPHRASE_SHARE = 7, 0.6  # of a window that stand in the item, and their least share of its weight
+PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.7, 0.7
+MARGIN = 6  # words around a passage that the subsequence may use
+MAX_ITEMS, MAX_ITEM_CHARS = 10_000, 8_000_000  # of a block of items
 FIT_DOCUMENTS, FIT_PASSAGES = 600, 12_000  # of the corpus, chosen by hash
 CORPUS_WEIGHT = 0.1
-BLOCK = 8_192  # words of a document worked off at a time
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -54,12 +58,12 @@ class Hasher(dict):
 
 
 def window_starts(n: int) -> list[int]:
-    """Starts of the windows that cover n words; the last one ends with the text."""
-    if n <= WINDOW:
+    """Starts of the passages of the fit that cover n words; the last one ends with the text."""
+    if n <= RUN:
         return [0] if n else []
-    starts = list(range(0, n - WINDOW + 1, STEP))
-    if starts[-1] != n - WINDOW:
-        starts.append(n - WINDOW)
+    starts = list(range(0, n - RUN + 1, FIT_STEP))
+    if starts[-1] != n - RUN:
+        starts.append(n - RUN)
     return starts
 
 
@@ -96,7 +100,7 @@ def _passage_vectors(texts, idf, h: Hasher):
     for k, text in enumerate(texts):
         ids = np.array([h[w] for w in words_of(text)], dtype=np.int64)
         for s in window_starts(len(ids)):
-            dims, counts = np.unique(ids[s : s + WINDOW], return_counts=True)
+            dims, counts = np.unique(ids[s : s + RUN], return_counts=True)
             weights = counts * idf[dims]
             yield k, s, dims, (weights / np.linalg.norm(weights)).astype(np.float32)
 
@@ -169,30 +173,48 @@ def latent_basis(items: list, sample: DataFrame, idf, rank: int = RANK, seed: in
 
 
 class ItemIndex:
-    """The items' passages in the latent space, and their words for the checks."""
+    """Words, answers and passages of a block of items; vectors of passages are made when first asked for."""
 
     def __init__(self, items: list[tuple], idf, basis):
         import numpy as np
 
+        self.idf, self.basis, self.hasher = idf, basis, Hasher()
         self.ids = [i for i, _, _ in items]
         self.words = [words_of(t) for _, t, _ in items]
         self.answers = [" ".join(words_of(a)) for _, _, a in items]
-        h = Hasher()
-        owner, vecs, spans = [], [], []
-        on_item = np.zeros(DIMS, dtype=bool)
-        for k, s, d, w in _passage_vectors([t for _, t, _ in items], idf, h):
-            owner.append(k)
-            spans.append(s)
-            vecs.append(w @ basis[d])
-            on_item[d] = True
-        self.owner = np.array(owner, dtype=np.int64)
-        self.spans = spans
-        self.vectors = np.array(vecs, dtype=np.float32).reshape(len(owner), basis.shape[1])
-        self.on_item = on_item
-        self.grams: dict[tuple, set[int]] = {}
+        self.vocabulary: dict[str, int] = {}
+        holders: list[list[int]] = []
         for k, ws in enumerate(self.words):
-            for i in range(len(ws) - RUN + 1):
-                self.grams.setdefault(tuple(ws[i : i + RUN]), set()).add(k)
+            for w in set(ws):
+                v = self.vocabulary.setdefault(w, len(holders))
+                if v == len(holders):
+                    holders.append([])
+                holders[v].append(k)
+        self.masks = [sum(1 << k for k in ks) for ks in holders]  # the items of each word as a set of bits
+        self.first = np.cumsum([0, *map(len, holders)])  # and as slices of one array
+        self.holders = np.array([k for ks in holders for k in ks], dtype=np.int64)
+        self._vectors: dict[int, object] = {}
+
+    def project(self, dims, starts, length: int):
+        """Unit latent vectors of the windows of ``length`` words at ``starts``."""
+        import numpy as np
+
+        at = np.asarray(starts)[:, None] + np.arange(length)
+        own = dims[at]
+        x = np.matmul(self.idf[own][:, None, :], self.basis[own])[:, 0]
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def passages(self, k: int):
+        """Latent vectors of all passages of item k."""
+        import numpy as np
+
+        if k not in self._vectors:
+            if len(self._vectors) >= 2_000:
+                self._vectors.clear()
+            dims = np.array([self.hasher[w] for w in self.words[k]], dtype=np.int64)
+            length = min(RUN, len(dims))
+            self._vectors[k] = self.project(dims, range(len(dims) - length + 1), length)
+        return self._vectors[k]
 
 
 def longest_run(a: list[str], b: list[str]) -> int:
@@ -223,85 +245,163 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(b) - v.bit_count()
 
 
-def search_words(ids, ws: list[str], index: ItemIndex, idf, basis, cosine: float = COSINE) -> dict[int, list]:
-    """item number -> [best cosine, longest run, best share of the subsequence, answer nearby] of one document."""
+def candidate_windows(ws: list[str], index: ItemIndex) -> dict[int, list[int]]:
+    """item number -> starts of the windows that may hold a passage of it.
+
+    A window is a candidate for each item that has all of its words (at any start), and for each item that has at least
+    ``PARAPHRASE_WORDS`` of its words with ``PARAPHRASE_SHARE`` of its weight (at every ``PARAPHRASE_STEP``-th start).
+    """
+    import numpy as np
+
+    n, get = len(ws), index.vocabulary.get
+    ids = np.fromiter((get(w, -1) for w in ws), dtype=np.int64, count=n)
+    sums = np.concatenate([[0], np.cumsum(ids >= 0)])
+    known = sums[RUN:] - sums[:-RUN] if n >= RUN else np.empty(0)
+    out: dict[int, list[int]] = {}
+    for s in np.flatnonzero(known == RUN).tolist():
+        both = -1
+        for v in ids[s : s + RUN].tolist():
+            both &= index.masks[v]
+            if not both:
+                break
+        while both:
+            low = both & -both
+            out.setdefault(low.bit_length() - 1, []).append(s)
+            both ^= low
+    starts = np.flatnonzero(known >= PARAPHRASE_WORDS)
+    starts = starts[starts % PARAPHRASE_STEP == 0]
+    if not len(starts):
+        return out
+    energy = index.idf[[index.hasher[w] for w in ws]].astype(np.float64) ** 2
+    sums = np.concatenate([[0.0], np.cumsum(energy)])
+    n_items = len(index.words)
+    step = max(1, 2_000_000 // n_items)
+    for at in range(0, len(starts), step):  # windows by items, in blocks of bounded size
+        few = starts[at : at + step]
+        window, place = np.repeat(np.arange(len(few)), RUN), (few[:, None] + np.arange(RUN)).ravel()
+        window, place = window[ids[place] >= 0], place[ids[place] >= 0]
+        first, last = index.first[ids[place]], index.first[ids[place] + 1]
+        many = last - first
+        ends = np.cumsum(many)
+        item = index.holders[np.repeat(first - ends + many, many) + np.arange(ends[-1])]
+        pair = np.repeat(window, many) * n_items + item
+        words = np.bincount(pair, minlength=len(few) * n_items)
+        weight = np.bincount(pair, weights=np.repeat(energy[place], many), minlength=len(few) * n_items)
+        least = np.repeat(PARAPHRASE_SHARE * (sums[few + RUN] - sums[few]), n_items)
+        for x in np.flatnonzero((words >= PARAPHRASE_WORDS) & (weight >= least)).tolist():
+            out.setdefault(x % n_items, []).append(int(few[x // n_items]))
+    return out
+
+
+def search_words(ws: list[str], index: ItemIndex, cosine: float = COSINE) -> dict[int, list]:
+    """item number -> [best cosine, longest run, best share of the subsequence, answer in the document] of one document."""
     import numpy as np
 
     found: dict[int, list] = {}
-    span = np.arange(WINDOW)
-    for begin in range(0, max(1, len(ids)), BLOCK - WINDOW):
-        own = ids[begin : begin + BLOCK]
-        if begin and len(own) <= WINDOW:
-            break
-        weight = idf[own]
-        energy = np.concatenate([[0.0], np.cumsum(weight.astype(np.float64) ** 2)])
-        on_item = np.concatenate([[0.0], np.cumsum(np.where(index.on_item[own], weight, 0).astype(np.float64) ** 2)])
-        starts = np.array(window_starts(len(own)))
-        if not len(starts):
-            break
-        ends = np.minimum(starts + WINDOW, len(own))
-        norm2 = energy[ends] - energy[starts]
-        # |projection| <= |part on words of the items|, as the other words are no part of any item
-        bound = np.sqrt(np.maximum(on_item[ends] - on_item[starts], 0) / np.maximum(norm2, 1e-9))
-        keep = np.flatnonzero(bound >= cosine)
-        for at in range(0, len(keep), 256):
-            few = keep[at : at + 256]
-            # a repeated word adds up like its count; the norm then counts it once too often at most, so no cosine is lowered
-            at_words = np.minimum(starts[few][:, None] + span, len(own) - 1)
-            inside = at_words < ends[few][:, None]
-            weights = np.where(inside, weight[at_words], 0).astype(np.float32)
-            x = np.einsum("ij,ijk->ik", weights, basis[own[at_words]], optimize=True)
-            x /= np.sqrt(norm2[few])[:, None].astype(np.float32)
-            cos = x @ index.vectors.T
-            for n, p in zip(*np.nonzero(cos >= cosine)):
-                k, item = few[n], int(index.owner[p])
-                s, e = begin + int(starts[k]), begin + int(ends[k])
-                got = found.setdefault(item, [0.0, 0, 0.0, False, set()])
-                c = min(1.0, float(cos[n, p]))  # a repeated word may lift it a little above
-                got[0] = max(got[0], c)
-                if (s, "run") not in got[4]:
-                    got[4].add((s, "run"))
-                    near = ws[max(0, s - RUN) : e + RUN]
-                    if any(item in index.grams.get(tuple(near[i : i + RUN]), ()) for i in range(len(near) - RUN + 1)):
-                        wide = ws[max(0, s - 400) : e + 400]
-                        got[1] = max(got[1], longest_run(wide, index.words[item]))
-                if c >= PARAPHRASE_COSINE:
-                    passage = index.words[item][index.spans[p] : index.spans[p] + WINDOW]
-                    got[2] = max(got[2], common_subsequence(ws[s:e], passage) / len(passage))
-                    if index.answers[item]:
-                        got[3] = got[3] or f" {index.answers[item]} " in f" {' '.join(ws[max(0, s - 60) : e + 60])} "
+    candidates, text = candidate_windows(ws, index), None
+    if not candidates:
+        return found
+    dims = np.array([index.hasher[w] for w in ws], dtype=np.int64)
+    places = np.unique(np.concatenate(list(candidates.values())))
+    at_once = len(places) <= 4_096  # else item by item, so that a document of any length takes a bounded matrix
+    vectors = index.project(dims, places, RUN) if at_once else None
+    for k, starts in candidates.items():
+        item, starts = index.words[k], np.unique(starts)
+        if len(item) < RUN:
+            continue
+        best, run, share, regions = 0.0, 0, 0.0, []
+        for at in range(0, len(starts), 4_096):
+            few = starts[at : at + 4_096]
+            own = vectors[np.searchsorted(places, few)] if at_once else index.project(dims, few, RUN)
+            cos = own @ index.passages(k).T
+            top = cos.max(axis=1)
+            high = float(top.max())
+            if high < PARAPHRASE_COSINE:
+                continue
+            best = max(best, high)
+            for i in np.flatnonzero(top >= PARAPHRASE_COSINE).tolist():
+                s = int(few[i])
+                if top[i] >= cosine:  # windows that overlap make one region
+                    if regions and s <= regions[-1][1]:
+                        regions[-1][1] = s + RUN
+                    else:
+                        regions.append([s, s + RUN])
+                if share < 1:
+                    p = int(cos[i].argmax())
+                    passage = item[max(0, p - MARGIN) : p + RUN + MARGIN]
+                    around = ws[max(0, s - 2 * MARGIN) : s + RUN + 2 * MARGIN]
+                    share = max(share, common_subsequence(around, passage) / len(passage))
+        for b, e in regions:  # each run of RUN words is a window of its own, so a region holds the whole of a longer one
+            run = max(run, longest_run(ws[b:e], item))
+        if best >= PARAPHRASE_COSINE:
+            if text is None:
+                text = f" {' '.join(ws)} "
+            answer = bool(index.answers[k]) and f" {index.answers[k]} " in text
+            found[k] = [min(1.0, best), run, share, answer]
     return found
 
 
-def search(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
+_INDEX: dict = {}
+
+
+def index_of(key: str, told) -> ItemIndex:
+    """The index of a broadcast block, made once a worker."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = ItemIndex(*told.value)
+    return _INDEX[key]
+
+
+def item_blocks(items: DataFrame, max_items: int = MAX_ITEMS, max_chars: int = MAX_ITEM_CHARS) -> list[DataFrame]:
+    """The items with text, dealt to blocks of about the bounded size by hash."""
+    told = items.select("item_id", "text", "answer").filter(F.length("text") > 0)
+    n, chars = told.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if not n:
+        return []
+    blocks = max(-(-n // max_items), -(-chars // max_chars))
+    if blocks == 1:
+        return [told]
+    return [told.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def search(documents: DataFrame, items: DataFrame, cosine: float = COSINE, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, cosine, longest_run, lcs_share, has_answer) of the candidates that pass a check.
 
     A candidate passes with a run of ``RUN`` common words, or as a paraphrase: a high cosine, a long common subsequence and
-    the answer nearby.
+    the answer in the document.
     """
-    rows = [(r.item_id, r.text, r.answer) for r in bounded_rows(items.select("item_id", "text", "answer"), MAX_ITEMS, "the test items") if r.text]
     schema = "doc_id long, item_id long, cosine double, longest_run int, lcs_share double, has_answer boolean"
     spark = documents.sparkSession
-    if not rows:
-        return spark.createDataFrame([], schema)
-    idf = inverse_frequencies(documents)
+    out, idf = None, None
+    blocks = item_blocks(items, max_items)
+    for block in blocks:
+        rows = [(r.item_id, r.text, r.answer) for r in block.collect()]  # of bounded size
+        if not rows:
+            continue
+        idf = inverse_frequencies(documents) if idf is None else idf
+        found = _search_block(documents, rows, idf, cosine, schema)
+        if len(blocks) > 1:
+            found = cut(found)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _search_block(documents: DataFrame, rows: list[tuple], idf, cosine: float, schema: str) -> DataFrame:
     basis = latent_basis([t for _, t, _ in rows], documents, idf)
-    told = spark.sparkContext.broadcast((rows, idf, basis))
+    told = documents.sparkSession.sparkContext.broadcast((rows, idf, basis))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pandas as pd
 
-        items_, idf_, basis_ = told.value
-        index, h = ItemIndex(items_, idf_, basis_), Hasher()
+        index = index_of(key, told)
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 ws = words_of(text)
-                if not ws:
+                if len(ws) < RUN or index.vocabulary.keys().isdisjoint(ws):
                     continue
-                ids = np.array([h[w] for w in ws], dtype=np.int64)
-                for item, (c, r, lcs, ans, _) in search_words(ids, ws, index, idf_, basis_, cosine).items():
+                for item, (c, r, lcs, ans) in search_words(ws, index, cosine).items():
                     if r >= RUN or (c >= PARAPHRASE_COSINE and lcs >= PARAPHRASE_LCS and ans):
                         out.append((doc, index.ids[item], c, r, lcs, ans))
             if out:

@@ -79,6 +79,12 @@ def p8_report(s, d):
     return found.select("doc_id", "item_id", kind.alias("kind"), F.round("cosine", 2).alias("cosine"), "longest_run")
 
 
+def p8_runs(s, d):
+    """The longest run of each leak, of any length."""
+    found = leakage.search(table(s, d, "documents"), table(s, d, "eval_items"))
+    return found.filter(F.col("longest_run") >= leakage.RUN).select("doc_id", "item_id", "longest_run")
+
+
 def p9_found(s, d):
     sized = mixing.sized_documents(table(s, d, "documents"))
     return mixing.mixing_plan(sized, table(s, d, "source_plan")).filter("not reachable").select("source")
@@ -103,6 +109,6 @@ def p10_pieces(s, d):
 def queries() -> dict:
     own = (
         p1_found, p1_unmatched, p2_found, p2_unified, p3_found, p3_collapsed, p4_found, p4_clean, p6_found, p6_text,
-        p8_found, p8_report, p9_found, p9_shares, p9_mix, p10_found, p10_pieces,
+        p8_found, p8_report, p8_runs, p9_found, p9_shares, p9_mix, p10_found, p10_pieces,
     )
     return {f.__name__: f for f in own}

@@ -47,4 +47,13 @@ def oracle_sql() -> dict[str, str]:
             ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw),
             dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw)
             SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p8_runs": r"""
+            WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+            ig AS (SELECT item_id, unnest(range(1, len(w) - 10)) AS j, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw),
+            dg AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS i, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw),
+            hits AS (SELECT doc_id, item_id, i, i - j AS shift FROM dg JOIN ig USING (g)),
+            isles AS (SELECT doc_id, item_id, shift, i - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) AS isle FROM hits),
+            runs AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM isles GROUP BY doc_id, item_id, shift, isle)
+            SELECT doc_id, item_id, max(n) AS longest_run FROM runs GROUP BY doc_id, item_id""",
     }

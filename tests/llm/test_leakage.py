@@ -60,6 +60,54 @@ def test_odd_documents(spark):
     assert leakage.search(df.limit(0), it).collect() == [] and leakage.search(df, it.limit(0)).collect() == []
 
 
+def test_runs_of_frequent_words_between_rare_ones(spark):
+    rng = random.Random(8)
+    usual = [f"usual{i}" for i in range(60)]
+    items = [(i, "s", " ".join(rng.choice(usual) for _ in range(50)), "1") for i in range(20)]
+    docs = []
+    for d in range(400):
+        w = [rng.choice(usual) for _ in range(40)] + [f"rare{d}x{k}" for k in range(40)]
+        rng.shuffle(w)
+        if d % 8 == 0:
+            t = rng.choice(items)[2].split()
+            s = rng.randrange(len(t) - 12)
+            w[20:20] = t[s : s + 12]
+        docs.append((d, " ".join(w), "x", ""))
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_runs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    want = brute(docs, items)
+    assert len(want) >= 50 and got == want
+
+
+def test_paraphrases_need_the_subsequence_and_the_answer(spark):
+    docs, items = build(5)
+    rng = random.Random(6)
+    docs = [d for d in docs if d[0] % 6]
+    planted = set()
+    for n in range(30):
+        i, _, t, answer = items[n]
+        w = t.split()
+        for k in range(5, len(w), 6):  # every run is broken
+            w[k] = rng.choice(COMMON)
+        told = n % 3 != 0
+        if told:
+            planted.add((10_000 + n, i))
+        docs.append((10_000 + n, " ".join([*rng.sample(COMMON, 40), *w, "so", answer if told else "none", *rng.sample(COMMON, 40)]), "x", ""))
+    found = leakage.search(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    got = {(r.doc_id, r.item_id) for r in found if r.doc_id >= 10_000}
+    assert got == planted and all(r.longest_run < 12 and r.lcs_share >= 0.7 and r.has_answer for r in found)
+
+
+def test_blocks_of_items_and_long_runs(spark):
+    docs, items = build(7)
+    long = " ".join(f"word{i}" for i in range(3_000))
+    items.append((99, "s", long, "1"))
+    docs.append((9_999, "before " + long + " after", "x", ""))
+    df, it = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    found = leakage.search(df, it, max_items=9).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.longest_run >= 12} == brute(docs, items)
+    assert next(r.longest_run for r in found if r.doc_id == 9_999) == 3_000
+
+
 def test_basis_is_near_the_exact_singular_space(spark):
     docs, items = build(2)
     df = spark.createDataFrame(docs, DOCS)
