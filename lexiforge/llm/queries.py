@@ -86,8 +86,7 @@ def p8_runs(s, d):
 
 
 def p9_found(s, d):
-    sized = mixing.sized_documents(table(s, d, "documents"))
-    return mixing.mixing_plan(sized, table(s, d, "source_plan")).filter("not reachable").select("source")
+    return mixing.shares(table(s, d, "documents"), table(s, d, "source_plan")).filter("not reachable").select("source")
 
 
 def p9_shares(s, d):

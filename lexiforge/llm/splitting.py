@@ -3,10 +3,13 @@
 A text is first cut into atoms: paragraphs, lines, sentences, clauses or words, whichever is the coarsest that fits,
 down to characters for a word that is too long itself. Adjacent atoms are held as pairs in a heap by the strength of
 the boundary between them; the pair at the weakest boundary is merged first, as long as the merged piece and the
-overlap fit into the limit. Each piece but the first then begins with the last ``overlap`` tokens of the piece before.
+overlap fit into the limit. Each piece but the first then begins with the last ``overlap`` tokens of the text before it, over
+as many pieces as they take. Where joining the two parts costs more tokens than both have, the overlap gives way by as little as keeps the limit,
+and every piece reports its own in ``overlap_tokens``. An overlap begins at the nearest earlier word, if that fits.
 
 Every text is worked off whole inside its Arrow batch; there is no shuffle. Texts within the limit are not split. Null and empty
-texts, null limits and sources without a limit give no pieces; a null overlap is none; an overlap of half of the limit or more is cut to half.
+texts, null limits and sources without a limit give no pieces; a null overlap is none. An overlap must leave room for new text: it is at most
+the limit less a tenth of it (at least one token).
 """
 
 from __future__ import annotations
@@ -89,17 +92,17 @@ def merge(parts: list[tuple[int, int, int, int]], room: int, overlap: int) -> li
     return [(begin[i], end[i]) for i in range(n) if alive[i]]
 
 
-def tail_start(text: str, begin: int, end: int, enc, overlap: int) -> int:
-    """Where the last ``overlap`` tokens of text[begin:end] start, at a character."""
-    window = min(end - begin, max(64, overlap * 12))
+def tail_start(text: str, end: int, enc, overlap: int) -> int:
+    """Where the last ``overlap`` tokens of text[:end] start, at a character."""
+    window = min(end, max(64, overlap * 12))
     while True:
         part = text[end - window : end]
         ids = enc.encode_ordinary(part)
-        if len(ids) >= overlap + 4 or window >= end - begin:
+        if len(ids) >= overlap + 4 or window >= end:
             break
-        window = min(end - begin, window * 2)
+        window = min(end, window * 2)
     if len(ids) <= overlap:
-        return begin
+        return end - window
     tail = enc.decode_bytes(ids[-overlap:])
     drop = 0
     while drop < len(tail) and tail[drop] & 0xC0 == 0x80:  # not inside a character
@@ -107,24 +110,36 @@ def tail_start(text: str, begin: int, end: int, enc, overlap: int) -> int:
     return end - len(tail[drop:].decode("utf-8", "ignore"))
 
 
-def split_text(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int, int, int]]:
-    """(begin, own_begin, end, tokens) of the pieces; text[begin:own_begin] is the overlap with the piece before."""
+def word_begin(text: str, at: int) -> int:
+    """The begin of the word that ``at`` lies in, if it is near."""
+    for back in range(min(at, 24)):
+        if text[at - back - 1].isspace():
+            return at - back
+    return at
+
+
+def split_text(text: str, limit: int, overlap: int, enc, whole: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(begin, own_begin, end, tokens, overlap tokens) of the pieces; text[begin:own_begin] is shared with the pieces before."""
     size = lambda t: len(enc.encode_ordinary(t))
-    if size(text) <= limit:
+    if (size(text) if whole is None else whole) <= limit:
         return []
-    overlap = max(0, min(overlap, limit // 2))
-    slack = min(SLACK, limit // 8)
+    overlap = max(0, min(overlap, limit - max(1, limit // 10)))
+    slack = min(SLACK, limit // 8, max(0, limit - overlap - 1))
     room = limit - slack
     parts = atoms(text, size, max(1, room - overlap))
-    out, last = [], None
+    out: list[tuple[int, int, int, int, int]] = []
     for begin, end in merge(parts, room, overlap):
-        start = begin if last is None or not overlap else tail_start(text, last[0], last[1], enc, overlap)
+        start = begin
+        if out and overlap:
+            start = tail_start(text, begin, enc, overlap)
+            whole = word_begin(text, start)
+            if size(text[whole:end]) <= limit:
+                start = whole
         n = size(text[start:end])
-        while n > limit and start < begin:  # a seam may cost a token more than foreseen
-            start += max(1, (begin - start) // 8)
+        while n > limit and start < begin:  # the seam costs more than the slack
+            start += max(1, min((n - limit) * 2, begin - start))
             n = size(text[start:end])
-        out.append((start, begin, end, n))
-        last = (begin, end)
+        out.append((start, begin, end, n, size(text[start:begin])))
     return out
 
 
@@ -140,7 +155,7 @@ def oversized(documents: DataFrame, plan: DataFrame, path: str | None = None) ->
 
 
 def split(documents: DataFrame, plan: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, piece_no, n_pieces, doc_tokens, begin_char, overlap_chars, n_tokens, piece) of the oversized documents."""
+    """(doc_id, piece_no, n_pieces, doc_tokens, begin_char, overlap_chars, overlap_tokens, n_tokens, piece) of the oversized documents."""
     path = path or TOKENIZER
 
     def run(batches: Iterator) -> Iterator:
@@ -152,23 +167,23 @@ def split(documents: DataFrame, plan: DataFrame, path: str | None = None) -> Dat
             for doc, text, limit, overlap in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if not text or limit is None or limit < 1:
                     continue
-                pieces = split_text(text, limit, overlap, enc)
-                whole = len(enc.encode_ordinary(text)) if pieces else 0
-                for k, (start, own, end, n) in enumerate(pieces, 1):
-                    rows.append((doc, k, len(pieces), whole, start, own - start, n, text[start:end]))
+                whole = len(enc.encode_ordinary(text))
+                pieces = split_text(text, limit, overlap, enc, whole)
+                for k, (start, own, end, n, shared) in enumerate(pieces, 1):
+                    rows.append((doc, k, len(pieces), whole, start, own - start, shared, n, text[start:end]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     import pyarrow as pa
 
-    names = ["doc_id", "piece_no", "n_pieces", "doc_tokens", "begin_char", "overlap_chars", "n_tokens", "piece"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = ["doc_id", "piece_no", "n_pieces", "doc_tokens", "begin_char", "overlap_chars", "overlap_tokens", "n_tokens", "piece"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     return (
         with_limits(documents, plan)
         .filter(F.octet_length("text") > F.col("max_tokens"))  # a token has a byte at least
         .select("doc_id", "text", "max_tokens", "overlap_tokens")
         .mapInArrow(
             run,
-            "doc_id long, piece_no int, n_pieces int, doc_tokens long, begin_char long, overlap_chars long, n_tokens long, piece string",
+            "doc_id long, piece_no int, n_pieces int, doc_tokens long, begin_char long, overlap_chars long, overlap_tokens long, n_tokens long, piece string",
         )
     )

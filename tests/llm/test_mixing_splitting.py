@@ -10,13 +10,39 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, s, "clash", "clash") for i, (t, s) in enumerate(rows)], DOCS)
 
 
-def test_cut_poisson_has_the_wanted_mean():
-    for cap in (1, 2, 4, 10):
-        for rate in (0.0, 0.1, 0.7, 0.99, 1.5, 3.9):
+def mean(base, steps):
+    return base + sum(1 - s for s in steps)
+
+
+def test_poisson_steps_of_any_rate_and_cap():
+    for lam in (0.0, 0.3, 1.0, 7.5, 60.0):
+        base, steps = mixing.poisson_steps(lam, 10_000)
+        assert base == 0 and abs(mean(base, steps) - lam) < 1e-9
+    for lam in (800.0, 1500.0, 5e5):  # beyond what exp(-lam) can hold
+        base, steps = mixing.poisson_steps(lam, 10**9)
+        assert abs(mean(base, steps) / lam - 1) < 1e-9
+        assert abs(sum(2 * (base + k) * (1 - s) for k, s in enumerate(steps)) + base * base + sum(1 - s for s in steps) - lam * lam - lam) / lam**2 < 1e-6
+    assert mixing.poisson_steps(800.0, 500)[0] == 479 or mean(*mixing.poisson_steps(800.0, 500)) <= 500
+
+
+def test_calibration_meets_the_wanted_size():
+    rng = random.Random(3)
+    for cap in (1, 3, 10, 2_000):
+        tokens_ = [rng.choice([0, 5, 5, 900]) for _ in range(mixing.BUCKETS)]
+        own = sum(tokens_)
+        for rate in (0.0, 0.1, 0.7, 1.5, 800.0):
             if rate < cap:
-                steps = mixing.poisson_steps(rate, cap)
-                assert len(steps) == cap and abs(sum(1 - s for s in steps) - rate) < 1e-6
-        assert mixing.poisson_steps(cap, cap) == [0.0] * cap
+                base, steps = mixing.calibrated(tokens_, rate * own, cap)
+                got = sum(n * (base + sum((k + 0.5) / mixing.BUCKETS >= s for s in steps)) for k, n in enumerate(tokens_))
+                assert abs(got - rate * own) <= 0.002 * own * max(1, rate) + 1_800
+        assert mixing.calibrated(tokens_, cap * own, cap) == (cap, [])
+
+
+def test_large_caps_are_not_cut(spark):
+    rows = [("lamp", "tiny"), ("lamp " * 200_000, "huge")]
+    plan = spark.createDataFrame([("tiny", 0.2, 100_000, 9, 0), ("huge", 0.8, 5, 9, 0)], PLAN)
+    got = {r.source: r for r in mixing.shares(docs(spark, rows), plan).collect()}
+    assert got["tiny"].reachable and got["tiny"].n_copies > 10_000
 
 
 def test_shares_are_met_and_caps_kept(spark):
@@ -26,10 +52,12 @@ def test_shares_are_met_and_caps_kept(spark):
     plan = spark.createDataFrame([("big", 0.5, 2, 9, 0), ("mid", 0.3, 5, 9, 0), ("small", 0.2, 1, 9, 0), ("none", 0.0, 1, 9, 0)], PLAN)
     df = docs(spark, rows)
     got = {r.source: r for r in mixing.shares(df, plan).collect()}
-    assert {r.source for r in mixing.mixing_plan(mixing.sized_documents(df), plan).filter("not reachable").collect()} == {"small"}
+    assert {s for s in got if not got[s].reachable} == {"small"}
     reached = {s: got[s].n_tokens for s in got}
     whole = sum(tokens_of(rows).values())
-    assert abs(reached["big"] / (0.5 * whole) - 1) < 0.06 and abs(reached["mid"] / (0.3 * whole) - 1) < 0.12
+    left = whole - reached["small"]  # handed on in proportion
+    assert abs(reached["big"] / (left * 5 / 8) - 1) < 0.01 and abs(reached["mid"] / (left * 3 / 8) - 1) < 0.01
+    assert all(abs(got[s].actual_share - got[s].given_share) < 0.005 for s in got)
     assert got["small"].n_copies == got["small"].n_docs and got["none"].n_tokens == 0
     drawn = mixing.mix(df, plan).select("doc_id", "source", "copy_no", "place").collect()
     most = {"big": 2, "mid": 5, "small": 1}
@@ -54,15 +82,29 @@ def check(text, limit, overlap, enc):
         assert pieces == []
         return pieces
     assert pieces[0][0] == 0 and pieces[-1][2] == len(text)
-    for start, own, end, n in pieces:
-        assert start <= own < end and n == size(text[start:end]) <= limit
-    for a, b in zip(pieces, pieces[1:]):
-        assert a[2] == b[1] and b[0] >= a[1]
-        shared = size(text[b[0] : b[1]])
-        assert shared <= overlap + 2
+    for start, own, end, n, shared in pieces:
+        assert start <= own < end and n == size(text[start:end]) <= limit and shared == size(text[start:own])
+    room = limit - max(1, limit // 10)
+    for k, (a, b) in enumerate(zip(pieces, pieces[1:]), 1):
+        assert a[2] == b[1]
+        wanted = min(overlap, room, size(text[: b[1]]))
+        full = size(text[b[1] : b[2]])
+        # the shared tokens are all there unless text and overlap together have no room
+        assert b[4] >= min(wanted, limit - full) - 5, (k, b, wanted, full)
+        assert b[4] <= overlap + 26
     return pieces
 
 
+def test_overlaps_reach_over_small_pieces_and_are_large():
+    enc = tokens.encoding(tokens.TOKENIZER)
+    para = "This is a sentence of some words and it goes on for a while. "
+    text = "\n\n".join(x for _ in range(8) for x in (para * 4, "Short."))
+    for limit, overlap in ((60, 20), (100, 80), (64, 50), (40, 400)):
+        check(text, limit, overlap, enc)
+    for _, own, _, _, shared in splitting.split_text(text, 100, 80, enc)[1:]:
+        assert shared >= min(78, len(enc.encode_ordinary(text[:own])) - 2)
+
+
 def test_pieces_fit_cover_and_overlap():
     enc = tokens.encoding(tokens.TOKENIZER)
     rng = random.Random(2)
@@ -81,7 +123,7 @@ def test_cuts_prefer_paragraphs():
     enc = tokens.encoding(tokens.TOKENIZER)
     para = "This is a sentence of some words. Here is another one of them. "
     text = "\n\n".join(para.strip() for _ in range(12))
-    for _, own, _, _ in splitting.split_text(text, 70, 0, enc)[1:]:
+    for _, own, *_ in splitting.split_text(text, 70, 0, enc)[1:]:
         assert text[own - 2 : own] == "\n\n"
 
 
