@@ -32,7 +32,7 @@ def p7_found(s, d):
 
 
 def p7_clean(s, d):
-    return badrows.clean_rows(table(s, d, "raw_lines")).withColumn("volume", F.col("volume").cast("long"))
+    return badrows.clean_rows(table(s, d, "raw_lines"))
 
 
 # --- normalisation

@@ -216,8 +216,9 @@ def oracle_sql() -> dict[str, str]:
     head = f"WITH {_LINES}"
     found = {
         "p7_found": f"{head} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
-        "p7_clean": f"""{head} SELECT line_id, c[1] AS keyword, try_cast(nullif(c[2], '') AS BIGINT) AS volume,
-            try_cast(nullif(c[3], '') AS DOUBLE) AS cpc, nullif(c[4], '') AS country, try_cast(nullif(c[5], '') AS DATE) AS seen_on
+        "p7_clean": f"""{head} SELECT line_id, c[1] AS keyword, try_cast(nullif(c[2], '') AS DECIMAL(38,0)) AS volume,
+            try_cast(nullif(c[3], '') AS DOUBLE) AS cpc, nullif(c[4], '') AS country, try_cast(nullif(c[5], '') AS DATE) AS seen_on,
+            CASE WHEN try_cast(nullif(c[2], '') AS DECIMAL(38,0)) IS NULL THEN nullif(c[2], '') END AS volume_text
             FROM judged WHERE reason IS NULL""",
         "norm_case_whitespace": _rule(lambda x: _squeeze(_lower(x))),
         "norm_unicode_fold": _rule(_fold),

@@ -3,7 +3,7 @@ import io
 import random
 import re
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from lexiforge.operators import badrows
@@ -97,9 +97,29 @@ def test_headers_blanks_nulls_and_long_lines(spark):
     assert badrows.rejected_rows(df.limit(0)).collect() == [] and badrows.clean_rows(df.limit(0)).collect() == []
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=st.characters(blacklist_categories=("Cs",), blacklist_characters="\r\x00"), max_size=8), min_size=5, max_size=5))
-def test_written_records_are_never_faulty_in_quoting(fields):
-    out = io.StringIO()
-    csv.writer(out, lineterminator="").writerow(fields)
-    assert brute(out.getvalue()) in (None, "invalid_value", "quoting") and (brute(out.getvalue()) != "quoting" or '"' in "".join(fields))
+def test_values_come_out_as_they_were_written(spark):
+    long, longer = "9" * 20, "8" * 45
+    rows = [(1, 1, 2, '"a\x01b,\x01a",1,2,US,', ""), (2, 1, 3, "a\x01b,,,,", ""), (3, 1, 4, f"k,{long},1,US,2024-02-29", ""), (4, 1, 5, f"k,{longer},1,US,", "")]
+    got = {r.line_id: r for r in badrows.clean_rows(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].keyword == "a\x01b,\x01a" and got[2].keyword == "a\x01b"
+    assert str(got[3].volume) == long and got[3].volume_text is None and got[4].volume is None and got[4].volume_text == longer
+
+
+field = st.text(alphabet=st.characters(blacklist_categories=("Cs",), blacklist_characters="\r\x00"), max_size=8)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(st.lists(field, min_size=1, max_size=7), min_size=80, max_size=120))
+def test_written_records_are_never_faulty_in_quoting(spark, records):
+    lines = []
+    for r in records:
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow(r)
+        lines.append(out.getvalue())
+    got, _ = reasons(spark, lines)
+    for i, (r, x) in enumerate(zip(records, lines)):
+        if x.strip():
+            assert got.get(i) == brute(x) and got.get(i) != "quoting"
+            assert (got.get(i) == "column_count") == (len(r) != 5)
+
+
