@@ -2,7 +2,8 @@
 
 A multi-pattern automaton over the canonical names and their short writings, both squeezed to letters and
 digits, finds embedded mentions; of overlapping mentions the longest wins. Values without a mention go to a
-token-set similarity whose tokens may be misspelt, cut short or in another order. The reference list is a
+token-set similarity whose tokens may be misspelt (a few edits, and at most ``DELETIONS`` letters of either without a counterpart), cut short or
+in another order. The reference list is a
 reference table with a contract bound (``MAX_TERMS``); the values are never shuffled: each Arrow batch is mapped
 in place, distinct values once, so one value that holds a third of all rows costs one look-up a batch.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from lexiforge.runtime import bounded_rows
 
-MAX_TERMS = 200_000
+MAX_TERMS = 50_000  # of the reference list; its index takes some 8 KB an entry
 MAX_CACHED = 200_000
+MOST_EDITS = 3
+DELETIONS = 2  # letters of either word that may be without a counterpart in the other; as many are indexed, so no entry is missed
 MIN_SCORE = 0.66
 MIN_LEAD = 0.04
 #: Digits and letter pairs that are read as letters.
@@ -41,22 +45,32 @@ def fold(value: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.casefold())
 
 
-def edits(a: str, b: str, limit: int) -> int:
-    """Optimal string alignment distance, or limit + 1 if it is larger."""
+def letter_masks(word: str) -> dict[str, int]:
+    """letter -> its places in the word as bits."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(word):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def edits(a: str, b: str, limit: int, masks: dict[str, int] | None = None) -> int:
+    """Optimal string alignment distance, or limit + 1 if it is larger; bit-parallel over the letters of ``b``."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > limit:
-            return limit + 1
-        before, last = last, row
-    return min(last[-1], limit + 1)
+    if not b:
+        return min(len(a), limit + 1)
+    masks = letter_masks(b) if masks is None else masks
+    full, last = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    up, down, diagonal, before, distance = full, 0, 0, 0, len(b)  # vertical steps of +1 and -1, and zero diagonal steps
+    for c in a:
+        here = masks.get(c, 0)
+        swapped = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swapped) & full
+        right, left = (down | ~(diagonal | up)) & full, diagonal & up  # horizontal steps
+        distance += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        up, down, before = (left | ~(diagonal | right)) & full, right & diagonal, here
+    return min(distance, limit + 1)
 
 
 def _deletes(word: str, n: int) -> set[str]:
@@ -68,7 +82,33 @@ def _deletes(word: str, n: int) -> set[str]:
 
 
 def allowed_edits(length: int) -> int:
-    return 0 if length < 4 else 1 if length < 6 else 2 if length < 9 else 3
+    return 0 if length < 4 else 1 if length < 6 else 2 if length < 9 else MOST_EDITS
+
+
+class NearIndex:
+    """Words by the hashes of what is left of them after some deletions, in sorted arrays."""
+
+    def __init__(self, words: list[str]):
+        import numpy as np
+
+        self.words = words
+        hashes, owner = [], []
+        for k, w in enumerate(words):
+            few = _deletes(w, min(DELETIONS, allowed_edits(len(w))))
+            hashes.extend(map(hash, few))
+            owner.extend([k] * len(few))
+        order = np.argsort(np.array(hashes, dtype=np.int64), kind="stable")
+        self.hashes, self.owner = np.array(hashes, dtype=np.int64)[order], np.array(owner, dtype=np.int64)[order]
+
+    def near(self, word: str) -> list[str]:
+        """The words that are equal to this one but for ``DELETIONS`` letters of each, and some others."""
+        import numpy as np
+
+        few = _deletes(word, min(DELETIONS, allowed_edits(len(word) + DELETIONS)))
+        wanted = np.fromiter(map(hash, few), dtype=np.int64, count=len(few))
+        first, last = np.searchsorted(self.hashes, wanted, "left"), np.searchsorted(self.hashes, wanted, "right")
+        hit = np.flatnonzero(last > first)
+        return [self.words[k] for k in {k for h in hit for k in self.owner[first[h] : last[h]].tolist()}]
 
 
 class TermMatcher:
@@ -94,18 +134,18 @@ class TermMatcher:
         for tid, (_, tokens) in self.terms.items():
             for t in tokens:
                 self.by_token.setdefault(t, set()).add(tid)
-        self.near_token: dict[str, set[str]] = {}
-        for t in self.by_token:
-            for d in _deletes(t, min(2, allowed_edits(len(t)))):
-                self.near_token.setdefault(d, set()).add(t)
+        self.near_token = NearIndex(list(self.by_token))
         self.prefixes: dict[str, set[str]] = {}
         for t in self.by_token:
             for n in range(3, len(t)):
                 self.prefixes.setdefault(t[:n], set()).add(t)
-        self.near_whole: dict[str, set[int]] = {}
+        self.by_whole: dict[str, set[int]] = {}
         for tid, (_, tokens) in self.terms.items():
-            for d in _deletes("".join(tokens), 2):
-                self.near_whole.setdefault(d, set()).add(tid)
+            self.by_whole.setdefault("".join(tokens), set()).add(tid)
+        self.near_whole = NearIndex(list(self.by_whole))
+        targets = self.by_token.keys() | self.by_whole.keys()
+        self.masks = {t: letter_masks(t) for t in targets}
+        self.longest = max(map(len, targets), default=0)
         self.cache: dict[tuple, int] = {}
         self.token_cache: dict[str, list] = {}
 
@@ -125,8 +165,6 @@ class TermMatcher:
         if found:
             named = {t for m in found for t in m if self.terms[t][0] in kinds}
             return named.pop() if len(named) == 1 and all(any(self.terms[t][0] in kinds for t in m) for m in found) else -1
-        if len(tokens) > 24:
-            return -1  # prose that mentions no entry; a name has few words
         core = [t for t in tokens if t not in AROUND] or tokens
         return self._similar(core, kinds)
 
@@ -160,6 +198,8 @@ class TermMatcher:
             found[token] = 1.0
         for t in self.prefixes.get(token, ()):
             found[t] = max(found.get(t, 0), 0.9)
+        if len(token) > 2 * self.longest + DELETIONS:  # letter pairs read as one at most halve it
+            return []
         forms = {token}
         for a, b in READ_AS.items():
             forms |= {f.replace(a, b) for f in forms if a in f}
@@ -167,19 +207,20 @@ class TermMatcher:
             forms |= {f.replace("l", "i") for f in forms}
         for form in forms:
             limit = allowed_edits(len(form))
-            for d in _deletes(form, min(2, limit)):
-                for t in self.near_token.get(d, ()):
-                    n = edits(form, t, limit)
-                    if n <= min(limit, allowed_edits(len(t))):
-                        found[t] = max(found.get(t, 0), 1 - n / max(len(t), len(form)))
+            for t in self.near_token.near(form):
+                n = edits(form, t, limit, self.masks[t])
+                if n <= min(limit, allowed_edits(len(t))):
+                    found[t] = max(found.get(t, 0), 1 - n / max(len(t), len(form)))
         if len(self.token_cache) >= MAX_CACHED:
             self.token_cache.clear()
         self.token_cache[token] = out = list(found.items())
         return out
 
     def _similar(self, core: list[str], kinds: tuple[str, ...]) -> int:
-        options = [dict(self._token_matches(t)) for t in core]
         size = sum(map(len, core))
+        if size > (self.longest + DELETIONS) * (2 / MIN_SCORE):
+            return -1  # the words besides weigh too much for any entry to reach MIN_SCORE
+        options = [dict(self._token_matches(t)) for t in core]
         scores: dict[int, float] = {}
         for tid in {i for o in options for t in o for i in self.by_token[t]}:
             kind, tokens = self.terms[tid]
@@ -205,12 +246,14 @@ class TermMatcher:
             forms |= {f.replace(a, b) for f in forms if a in f}
         if size >= 5:
             for form in forms:
-                for d in _deletes(form, 2 if len(form) <= 40 else 0):
-                    for tid in self.near_whole.get(d, ()):
-                        if self.terms[tid][0] in kinds:
-                            target = "".join(self.terms[tid][1])
-                            n = edits(form, target, allowed_edits(len(target)))
-                            if n <= allowed_edits(len(target)):
+                if len(form) > self.longest + DELETIONS:
+                    continue  # too long for every entry
+                for target in self.near_whole.near(form):
+                    limit = allowed_edits(len(target))
+                    n = edits(form, target, limit, self.masks[target])
+                    if n <= limit:
+                        for tid in self.by_whole[target]:
+                            if self.terms[tid][0] in kinds:
                                 scores[tid] = max(scores.get(tid, 0), 1 - n / len(target))
         if not scores:
             return -1
@@ -221,19 +264,30 @@ class TermMatcher:
 
 
 def term_rows(terms: DataFrame) -> list[tuple]:
+    """The list on the driver. It is a reference list that people keep: more than ``MAX_TERMS`` entries are an error, never cut."""
     got = bounded_rows(terms.select("term_id", "kind", "term_name", "short_forms"), MAX_TERMS, "the canonical list")
     return [(r.term_id, r.kind, r.term_name, list(r.short_forms or [])) for r in got if r.term_name]
 
 
 FIELD_KINDS = {"brand": ("brand",), "category": ("category",), "alias": ("brand", "category")}
+_MATCHER: dict = {}
+
+
+def matcher_of(key: str, told) -> TermMatcher:
+    """The matcher of a broadcast list, made once a worker."""
+    if key not in _MATCHER:
+        _MATCHER.clear()
+        _MATCHER[key] = TermMatcher(told.value)
+    return _MATCHER[key]
 
 
 def map_values(cases: DataFrame, terms: DataFrame, field_kinds: dict = FIELD_KINDS) -> DataFrame:
     """(field, record_id, value) -> (field, record_id, value, term_id); term_id is -1 for values that name no entry."""
-    rows = term_rows(terms)
+    told = cases.sparkSession.sparkContext.broadcast(term_rows(terms))  # at most MAX_TERMS rows
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
-        matcher = TermMatcher(rows)
+        matcher = matcher_of(key, told)
         for pdf in batches:
             pairs = list(zip(pdf["field"], pdf["value"]))
             known = {p: matcher.lookup(p[1], field_kinds[p[0]]) for p in set(pairs)}
@@ -247,16 +301,14 @@ def map_values(cases: DataFrame, terms: DataFrame, field_kinds: dict = FIELD_KIN
 
 def free_values(context: DataFrame, aliases: DataFrame, terms: DataFrame) -> DataFrame:
     """The non-null values that aren't, character by character, the name of an entry allowed for their field."""
-    exact = {}
-    for _, kind, name, _ in term_rows(terms):
-        exact.setdefault(kind, []).append(name)
+    names = terms.filter("term_name is not null").select("kind", F.col("term_name").alias("value")).distinct()
+    if names.count() > MAX_TERMS:
+        raise ValueError(f"the canonical list has more than {MAX_TERMS} entries; it is meant to be a small reference table")
 
     def of(df: DataFrame, field: str, rid: str, column: str) -> DataFrame:
-        names = [n for k in FIELD_KINDS[field] for n in exact.get(k, [])]
-        value = F.col(column)
-        return df.filter(value.isNotNull() & (~value.isin(names) if names else F.lit(True))).select(
-            F.lit(field).alias("field"), F.col(rid).alias("record_id"), value.alias("value")
-        )
+        exact = names.filter(F.col("kind").isin(*FIELD_KINDS[field])).select("value").distinct()
+        told = df.filter(F.col(column).isNotNull()).select(F.lit(field).alias("field"), F.col(rid).alias("record_id"), F.col(column).alias("value"))
+        return told.join(F.broadcast(exact), "value", "left_anti").select("field", "record_id", "value")  # of checked size
 
     return (
         of(context, "brand", "context_id", "brand")

@@ -62,6 +62,26 @@ def test_misspellings_are_found_again():
     assert right / n > 0.95
 
 
+def test_length_is_no_limit():
+    m = ct.TermMatcher(TERMS)
+    assert m.lookup("the " * 15 + "Snorandqo " + "shop " * 15, BOTH) == 1  # words around a name
+    long = [(9, "brand", "Verylongbrandnamethatgoesonforfortyfivelettersandmore", [])]
+    m = ct.TermMatcher(TERMS + long)
+    assert m.lookup("Verylongbrandnamethatgoesonforfortyfivelettresandmroe", BOTH) == 9
+    assert m.lookup("Verylongbrand namethatgoesonfor fortyfivelettresandmroe", BOTH) == 9
+
+
+def test_three_edits_are_found_wherever_they_stand():
+    rng = random.Random(3)
+    m = ct.TermMatcher([(1, "brand", "Hoxansagardin", []), (2, "brand", "Brilumetofax", [])])
+    for _ in range(300):
+        w = list("hoxansagardin")
+        places = sorted(rng.sample(range(0, 12, 2), 3), reverse=True)
+        for k, edit in zip(places, rng.sample(["drop", "drop", "add"], 3)):
+            w[k : k + 1] = [] if edit == "drop" else [w[k], "z"]
+        assert m.lookup("".join(w), ("brand",)) == 1, "".join(w)
+
+
 def test_tables_with_nulls_and_clashing_columns(spark):
     terms = spark.createDataFrame(TERMS, "term_id long, kind string, term_name string, short_forms array<string>")
     ctx = spark.createDataFrame([(1, "snr", None, "c"), (2, "Snorandoq", "nothing", "c"), (3, None, "Travel Webcams", "c"), *[(i, "tst", None, "c") for i in range(10, 400)]], "context_id long, brand string, category string, value string")
