@@ -6,14 +6,18 @@ a conversion to one canonical type, so a field that was a number in one file and
 Alternatives that appear, vanish or change name between a file and the one before it in its feed are reported.
 
 Field names are matched by a table of known names (a parameter); names it doesn't hold are matched by profiles of their
-values. All statistics are map-side aggregates on (file, field); a file with a third of all rows stays spread.
+values. All statistics are map-side aggregates on (file, field); a file with a third of all rows stays spread. The fields of a file are
+then one row, so files are compared pair by pair.
 
-Records that aren't JSON objects and null payloads have no fields. Null values count for the presence of a field, not for its kind. A
-file without records has no fields. Ties of the period are ordered by arrival, then by file_id. Empty tables give empty results.
+Records that aren't JSON objects and null payloads have no fields; the unified table has them all the same, with the problem and the
+payload. Null values count for the presence of a field, not for its kind. A file without records has no fields. Ties of the period are ordered by arrival, then by file_id. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,22 +54,26 @@ def quantity(c: Column, names: dict = KNOWN_NAMES) -> Column:
     return F.coalesce(F.try_element_at(table, name_key(c)), F.concat(F.lit("?"), name_key(c)))
 
 
-def cells(rows: DataFrame, payload: str = "payload", ids: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
-    """(ids, field, kind, value): one row a field of each record; the kind of a JSON null is null."""
-    told = rows.select(*ids, F.expr(f"try_parse_json({payload})").alias("_v")).filter(F.expr("schema_of_variant(_v) like 'OBJECT%'"))
-    opened = told.lateralJoin(told.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(
-        *ids, F.col("key").alias("field"), F.expr("schema_of_variant(value)").alias("_t"), F.expr("cast(value as string)").alias("value")
-    )
+def kind_of(c: Column) -> Column:
+    """The kind of a variant; null for a JSON null."""
     # 5.0 is kept as DECIMAL(1,0), whole numbers as BIGINT or, beyond it, DECIMAL(19 and more,0)
-    kind = (
-        F.when(F.col("_t") == "STRING", "string")
-        .when((F.col("_t") == "BIGINT") | (F.expr("try_cast(nullif(regexp_extract(_t, '^DECIMAL\\\\((\\\\d+),0\\\\)$', 1), '') as int)") > 18), "whole")
-        .when(F.col("_t").startswith("DECIMAL") | F.col("_t").isin("DOUBLE", "FLOAT"), "decimal")
-        .when(F.col("_t") == "BOOLEAN", "boolean")
-        .when(F.col("_t").startswith("ARRAY"), "list")
-        .when(F.col("_t").startswith("OBJECT"), "object")
+    t = F.schema_of_variant(c)
+    digits = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
+    return (
+        F.when(t == "STRING", "string")
+        .when((t == "BIGINT") | (digits > 18), "whole")
+        .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "decimal")
+        .when(t == "BOOLEAN", "boolean")
+        .when(t.startswith("ARRAY"), "list")
+        .when(t.startswith("OBJECT"), "object")
     )
-    return opened.select(*ids, "field", kind.alias("kind"), "value")
+
+
+def cells(rows: DataFrame, payload: str = "payload", ids: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
+    """(ids, field, kind, value): one row a field of each record; the kind of a JSON null is null."""
+    told = rows.select(*ids, F.try_parse_json(payload).alias("_v")).filter(F.schema_of_variant("_v").like("OBJECT%"))
+    opened = told.lateralJoin(told.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    return opened.select(*ids, F.col("key").alias("field"), kind_of(F.col("value")).alias("kind"), F.col("value").cast("string").alias("value"))
 
 
 def file_schemas(rows: DataFrame) -> DataFrame:
@@ -92,67 +100,77 @@ def consecutive_files(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.lag("file_id").over(w).alias("before_id")).filter("before_id is not null")
 
 
-def schema_changes(files: DataFrame, rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
-    """(file_id, change, old_field, new_field) for added, removed, renamed and retyped fields."""
-    # one row a field of a file, so small beside the records; written once, as both sides of each comparison read it
-    schemas = cut(file_schemas(rows).withColumn("quantity", quantity(F.col("field"), names)))
-    pairs = cut(consecutive_files(files))
-    cols = ["field", "kind", "quantity", "_length", "_size", "_marks"]
-    new = pairs.join(schemas, "file_id").select("file_id", *cols)
-    old = pairs.join(schemas.withColumnRenamed("file_id", "before_id"), "before_id").select("file_id", *cols)
-
-    # one row for each field of either file; the same name first
-    o = old.select("file_id", *[F.col(c).alias(f"old{c}" if c[0] == "_" else f"old_{c}") for c in cols], F.col("field"))
-    n = new.select("file_id", *[F.col(c).alias(f"new{c}" if c[0] == "_" else f"new_{c}") for c in cols], F.col("field"))
-    full = o.join(n, ["file_id", "field"], "full").drop("field")
-    same = full.filter("old_field is not null and new_field is not null")
-    gone = full.filter("new_field is null").select("file_id", *[c for c in full.columns if c.startswith("old")])
-    come = full.filter("old_field is null").select("file_id", *[c for c in full.columns if c.startswith("new")])
-
-    # then the same quantity; within a quantity in the order of the names
-    ranked = lambda d, p: d.withColumn("_k", F.row_number().over(Window.partitionBy("file_id", f"{p}_quantity").orderBy(f"{p}_field")))
-    moved = (
-        ranked(gone, "old").withColumn("_q", F.col("old_quantity"))
-        .join(ranked(come, "new").withColumn("_q", F.col("new_quantity")), ["file_id", "_q", "_k"], "full")
-        .drop("_q", "_k")
-    )
-    renamed = moved.filter("old_field is not null and new_field is not null")
-    gone2, come2 = moved.filter("new_field is null").select(gone.columns), moved.filter("old_field is null").select(come.columns)
-
-    # then, if one of the names is unknown, profiles of the values; each field takes its best partner if the choice is mutual
-    close = (
-        gone2.join(come2, "file_id")
-        .filter("old_quantity like '?%' or new_quantity like '?%'")
-        .withColumn(
-            "_s",
-            F.expr(
-                "0.4 * coalesce(bit_count(old_marks & new_marks) / bit_count(old_marks | new_marks), 0)"
-                " + 0.3 * exp(-abs(coalesce(old_size, -3) - coalesce(new_size, -3)))"
-                " + 0.2 * exp(-abs(coalesce(old_length, -9) - coalesce(new_length, -9)) / 4)"
-                " + case when old_kind <=> new_kind then 0.1 else 0 end"
-            ),
-        )
-        .filter(F.col("_s") >= PROFILE_MATCH)
-        .withColumn("_a", F.row_number().over(Window.partitionBy("file_id", "old_field").orderBy(F.desc("_s"), "new_field")))
-        .withColumn("_b", F.row_number().over(Window.partitionBy("file_id", "new_field").orderBy(F.desc("_s"), "old_field")))
-        .filter("_a = 1 and _b = 1")
-        .drop("_s", "_a", "_b")
-    )
-    paired = ["file_id", "old_field", "new_field", "old_kind", "new_kind"]
-    renamed = renamed.select(paired).unionByName(close.select(paired))
-    removed = gone2.join(close.select("file_id", "old_field"), ["file_id", "old_field"], "left_anti")
-    added = come2.join(close.select("file_id", "new_field"), ["file_id", "new_field"], "left_anti")
-    retyped = same.select(paired).unionByName(renamed).filter("old_kind <> new_kind")
+def changes_between(old: list[dict], new: list[dict]) -> list[tuple[str, str, str]]:
+    """(change, old_field, new_field) from one file's fields to the next one's.
 
-    row = lambda d, change, a, b: d.select("file_id", F.lit(change).alias("change"), a.alias("old_field"), b.alias("new_field"))
+    Fields are paired by the same name, then by the same quantity in the order of names, then, if one of the names is unknown, by
+    profiles of their values: the closest pairs first, each field once.
+    """
+    before, after = {f["field"]: f for f in old}, {f["field"]: f for f in new}
+    pairs = [(before[n], after[n]) for n in sorted(before.keys() & after.keys())]
+    gone = [before[n] for n in sorted(before.keys() - after.keys())]
+    come = [after[n] for n in sorted(after.keys() - before.keys())]
+    for q in sorted({f["quantity"] for f in gone} & {f["quantity"] for f in come}):
+        pairs += zip([f for f in gone if f["quantity"] == q], [f for f in come if f["quantity"] == q])
+    taken = {id(f) for pair in pairs for f in pair}
+    gone, come = ([f for f in fs if id(f) not in taken] for fs in (gone, come))
+    close = []
+    for a in gone:
+        for b in come:
+            if a["quantity"].startswith("?") or b["quantity"].startswith("?"):
+                s = likeness(a, b)
+                if s >= PROFILE_MATCH:
+                    close.append((-s, a["field"], b["field"]))
+    left, right = {f["field"]: f for f in gone}, {f["field"]: f for f in come}
+    for _, x, y in sorted(close):
+        if x in left and y in right:
+            pairs.append((left.pop(x), right.pop(y)))
+    out = [("removed", x, "") for x in left] + [("added", "", y) for y in right]
+    for a, b in pairs:
+        if a["field"] != b["field"]:
+            out.append(("renamed", a["field"], b["field"]))
+        if a["kind"] and b["kind"] and a["kind"] != b["kind"]:
+            out.append(("retyped", a["field"], b["field"]))
+    return out
+
+
+def likeness(a: dict, b: dict) -> float:
+    """How much two fields' values are alike: the values themselves, the size of numbers, lengths and kinds; 1 at most."""
+    either = (a["marks"] | b["marks"]).bit_count()
+    near = lambda x, y, none, unit: math.exp(-abs((none if x is None else x) - (none if y is None else y)) / unit)
     return (
-        row(added, "added", F.lit(""), F.col("new_field"))
-        .unionByName(row(removed, "removed", F.col("old_field"), F.lit("")))
-        .unionByName(row(renamed, "renamed", F.col("old_field"), F.col("new_field")))
-        .unionByName(row(retyped, "retyped", F.col("old_field"), F.col("new_field")))
+        0.4 * ((a["marks"] & b["marks"]).bit_count() / either if either else 0.0)
+        + 0.3 * near(a["size"], b["size"], -3.0, 1.0)
+        + 0.2 * near(a["length"], b["length"], -9.0, 4.0)
+        + 0.1 * (a["kind"] == b["kind"])
     )
 
 
+def schema_changes(files: DataFrame, rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
+    """(file_id, change, old_field, new_field) for added, removed, renamed and retyped fields."""
+    told = F.struct("field", "kind", quantity(F.col("field"), names).alias("quantity"), F.col("_length").alias("length"), F.col("_size").alias("size"), F.col("_marks").alias("marks"))
+    # one row a file, so small beside the records; written once, as both sides of each comparison read it
+    schemas = cut(file_schemas(rows).groupBy("file_id").agg(F.collect_list(told).alias("fields")))
+    pairs = consecutive_files(files)
+    new = schemas.select("file_id", F.col("fields").alias("new"))
+    old = schemas.select(F.col("file_id").alias("before_id"), F.col("fields").alias("old"))
+    both = pairs.join(new, "file_id", "left").join(old, "before_id", "left").select("file_id", "old", "new")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, olds, news = (batch.column(i).to_pylist() for i in range(3))
+            got = [(i, *change) for i, a, b in zip(ids, olds, news) for change in changes_between(a or [], b or [])]
+            columns = zip(*got) if got else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()))],
+                names=["file_id", "change", "old_field", "new_field"],
+            )
+
+    return both.mapInArrow(run, "file_id long, change string, old_field string, new_field string")
+
+
 def union_schema(rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
     """(quantity, field, kind, n): the alternatives of the fused schema over all files, with the number of values."""
     return (
@@ -167,16 +185,38 @@ def union_schema(rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
 def unified(rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
     """One row a record in the canonical schema; ``<column>_branch`` names the alternative a converted value came from.
 
-    A record's fields lie in one partition, so the aggregate is complete before its shuffle; fields with unknown names
-    are kept in ``others`` as JSON.
+    Each record is opened where it lies, without a shuffle. Fields with unknown names, and further fields of a quantity that has its value from another,
+    are kept in ``others`` as JSON. ``problem`` names what a record without fields is (null, not_json, not_object, empty), ``unread`` is its payload.
     """
-    one = cells(rows).withColumn("quantity", quantity(F.col("field"), names))
-    value = lambda q: F.expr(f"min_by(value, field) filter (where quantity = '{q}' and kind is not null)").alias(f"_{q}")
-    kind = lambda q: F.expr(f"min_by(kind, field) filter (where quantity = '{q}' and kind is not null)").alias(f"{q}_branch")
-    others = F.expr(
-        "nullif(to_json(map_from_entries(array_sort(collect_set(struct(field, value)) filter (where quantity like '?%' and kind is not null)))), '{}')"
-    ).alias("others")
-    wide = one.groupBy("file_id", "line_no").agg(*[e for q in names for e in (value(q), kind(q))], others)
+    v = F.col("_v")
+    is_object = F.coalesce(F.schema_of_variant(v).like("OBJECT%"), F.lit(False))
+    problem = (
+        F.when(F.col("payload").isNull(), "null").when(v.isNull(), "not_json").when(~is_object, "not_object")
+        .when(F.schema_of_variant(v) == "OBJECT<>", "empty")
+    )
+    opened = F.map_entries(F.when(is_object, v).cast("map<string,variant>"))
+    fields = F.transform(
+        opened,
+        lambda e: F.struct(
+            quantity(e["key"], names).alias("quantity"), e["key"].alias("field"), kind_of(e["value"]).alias("kind"), e["value"].cast("string").alias("value")
+        ),
+    )
+    parsed = rows.select("file_id", "line_no", "payload", F.try_parse_json("payload").alias("_v"))
+    one = parsed.select(
+        "file_id", "line_no", problem.alias("problem"), F.when(problem.isNotNull(), F.col("payload")).alias("unread"),
+        F.array_sort(F.filter(fields, lambda f: f["kind"].isNotNull())).alias("_f"),
+    )
+    first = lambda q: F.get(F.filter("_f", lambda f: f["quantity"] == q), F.lit(0))
+    wide = one.select(
+        "file_id", "line_no", "problem", "unread", "_f", *[first(q).alias(f"_{q}_f") for q in names]
+    )
+    used = F.array(*[F.col(f"_{q}_f.field") for q in names])
+    rest = F.filter("_f", lambda f: ~F.coalesce(F.array_contains(F.col("_used"), f["field"]), F.lit(False)))
+    others = F.to_json(F.map_from_entries(F.transform(rest, lambda f: F.struct(f["field"], f["value"]))))
+    wide = wide.withColumn("_used", F.filter(used, lambda x: x.isNotNull())).select(
+        "file_id", "line_no", "problem", "unread", F.nullif(others, F.lit("{}")).alias("others"),
+        *[F.col(f"_{q}_f.value").alias(f"_{q}") for q in names], *[F.col(f"_{q}_f.kind").alias(f"{q}_branch") for q in names],
+    )
     number = lambda q: f"try_cast(regexp_replace(regexp_replace(_{q}, ',', ''), ' */.*$', '') as double)"
     text = lambda q: f"nullif(trim(regexp_replace(_{q}, '[\\\\[\\\\]\"]', '')), '')"
     canonical = {
@@ -191,4 +231,4 @@ def unified(rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
         "seen_on": "coalesce(try_to_date(_seen_on, 'yyyy-MM-dd'), try_to_date(_seen_on, 'yyyyMMdd'))",
     }
     columns = [F.expr(canonical.get(q, text(q))).alias(q) for q in names]
-    return wide.select("file_id", "line_no", *columns, *[f"{q}_branch" for q in names], "others")
+    return wide.select("file_id", "line_no", *columns, *[f"{q}_branch" for q in names], "others", "problem", "unread")

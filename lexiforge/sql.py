@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexiforge.functions import textnorm as tn
-from lexiforge.operators import analytics, profile, schema
+from lexiforge.operators import analytics, drift, profile, schema
 
 _LINES = r"""
     lines AS (
@@ -212,6 +212,19 @@ _RUNS = r"""wk AS (SELECT row_id, string_split(trim(regexp_replace(lower(keyword
 _INTENTS = analytics.INTENTS
 
 
+def _union() -> str:
+    """The fields of all JSON records with their kinds; the table of names is the operator's parameter."""
+    pairs = ", ".join(f"('{n}', '{q}')" for q, ns in drift.KNOWN_NAMES.items() for n in sorted({*ns, q.replace("_", " ")}))
+    return rf"""
+        WITH named(name, q) AS (VALUES {pairs}),
+        f AS (SELECT unnest(json_keys(payload)) AS field, payload FROM feed_rows WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+        v AS (SELECT field, json_extract(payload, '$."' || field || '"') AS val FROM f),
+        k AS (SELECT field, CASE json_type(val) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object'
+                WHEN 'DOUBLE' THEN 'decimal' WHEN 'NULL' THEN NULL ELSE 'whole' END AS kind FROM v),
+        n AS (SELECT *, trim(regexp_replace(lower(regexp_replace(field, '([a-z])([A-Z])', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS name FROM k WHERE kind IS NOT NULL)
+        SELECT coalesce(q, '?' || name) AS quantity, field, kind, count(*) AS n FROM n LEFT JOIN named USING (name) GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     head = f"WITH {_LINES}"
     found = {
@@ -220,6 +233,7 @@ def oracle_sql() -> dict[str, str]:
             try_cast(nullif(c[3], '') AS DOUBLE) AS cpc, nullif(c[4], '') AS country, try_cast(nullif(c[5], '') AS DATE) AS seen_on,
             CASE WHEN try_cast(nullif(c[2], '') AS DECIMAL(38,0)) IS NULL THEN nullif(c[2], '') END AS volume_text
             FROM judged WHERE reason IS NULL""",
+        "p5_union": _union(),
         "norm_case_whitespace": _rule(lambda x: _squeeze(_lower(x))),
         "norm_unicode_fold": _rule(_fold),
         "norm_punctuation": _rule(_open),

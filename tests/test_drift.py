@@ -6,7 +6,7 @@ from lexiforge.operators import drift
 FILES = "file_id long, feed_id long, file_name string, period string, received_at string, n_rows long"
 
 
-def changes(spark, feeds):
+def tables(spark, feeds):
     """feeds: {feed: [[record, ...] of each file]}"""
     files, rows, fid = [], [], 0
     for feed, versions in feeds.items():
@@ -15,7 +15,11 @@ def changes(spark, feeds):
             files.append((fid, feed, "f", f"2024-01-{k + 1:02}", f"2024-02-{28 - k:02}", len(records)))
             rows += [(fid, n, r if r is None or isinstance(r, str) else json.dumps(r)) for n, r in enumerate(records)]
     f = spark.createDataFrame(files, FILES)
-    r = spark.createDataFrame(rows, "file_id long, line_no long, payload string")
+    return f, spark.createDataFrame(rows, "file_id long, line_no long, payload string")
+
+
+def changes(spark, feeds):
+    f, r = tables(spark, feeds)
     return {(x.file_id, x.change, x.old_field, x.new_field) for x in drift.schema_changes(f, r).collect()}, r
 
 
@@ -46,7 +50,29 @@ def test_unknown_names_are_matched_by_their_values(spark):
 def test_faulty_payloads_empty_files_and_empty_tables(spark):
     got, rows = changes(spark, {1: [["no json", None, "[1]", {"a": 1}], [], [{"a": 1}]]})
     assert got == {(2, "removed", "a", ""), (3, "added", "", "a")}
-    assert drift.unified(rows).count() == 2
+    told = {r.line_no: (r.problem, r.unread) for r in drift.unified(rows.filter("file_id = 1")).collect()}
+    assert sorted(told.values(), key=str) == [("not_json", "no json"), ("not_object", "[1]"), ("null", None), (None, None)]
+    odd = rows.limit(1).selectExpr("file_id", "line_no", "'{}' as payload")
+    assert [r.problem for r in drift.unified(odd).collect()] == ["empty"]
+
+
+def test_no_record_is_lost_and_nothing_is_shuffled(spark):
+    _, rows = changes(spark, {1: [[{"kw": "a", "Keyword": "b", "x": 1}, {}, None, "7"]]})
+    got = drift.unified(rows)
+    assert got.count() == rows.count() == 4 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    first = got.filter("problem is null").first()
+    assert first.keyword == "b" and json.loads(first.others) == {"kw": "a", "x": "1"}
+
+
+def test_no_table_of_names_is_needed_for_like_values(spark):
+    rng = random.Random(4)
+    make = lambda kw, vol: [{kw: rng.choice("abcdefgh") * 9, vol: rng.randint(1, 40)} for _ in range(60)]
+    files, rows = tables(spark, {1: [make("keyword", "sv"), make("suchwort", "menge")]})
+    got = {tuple(r)[1:] for r in drift.schema_changes(files, rows, {"none": ()}).collect()}
+    assert got == {("renamed", "keyword", "suchwort"), ("renamed", "sv", "menge")}
+
+
+def test_empty_tables(spark):
     none, empty = changes(spark, {1: [[{"a": 1}]]})
     assert none == set() and drift.unified(empty.limit(0)).collect() == []
 
