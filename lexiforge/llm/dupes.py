@@ -2,11 +2,11 @@
 
 Records are brought to a canonical key in the JVM. Each partition marks the 64-bit hashes of its keys in two Bloom
 filters, seen once and seen repeatedly; the partitions' filters are merged shard by shard (what two partitions saw
-once counts as repeated), so a key that occurs twice is always in the merged repeated filter. Only records that the
+once counts as repeated) in a tree of bounded groups, so a key that occurs twice is always in the merged repeated filter. Only records that the
 filter lets through are shuffled for exact grouping on the whole key; all others go out as singletons, unshuffled.
 
 Filters have a fixed size per key and a cap in bytes; beyond the cap the key space is worked off in several passes, so
-what is broadcast never exceeds ``MAX_FILTER_BYTES`` at any size of the data. Groups with very many copies are joined
+what is broadcast never exceeds ``MAX_FILTER_BYTES`` at any size of the data; the keys are then written once beforehand. Groups with very many copies are joined
 apart, by a broadcast of their few keys, so no task gets all copies of one record.
 
 Records with a null keyword have nothing to compare and are singletons; an empty keyword is a keyword like any other;
@@ -26,6 +26,7 @@ from lexiforge.runtime import cut
 SHARD_BITS = 19  # a shard of a filter is 64 KB
 BITS_PER_KEY = 16
 MAX_FILTER_BYTES = 128 << 20
+MERGED_AT_ONCE = 64  # filters of a shard that one task merges
 HOT_COPIES = 50_000
 HOT_KEYS = 5_000
 
@@ -113,10 +114,20 @@ def repeated_filter(hashes: DataFrame, shards: int) -> DataFrame:
             seen = np.frombuffer(zlib.decompress(a), dtype=np.uint8)
             again |= (once & seen) | np.frombuffer(zlib.decompress(b), dtype=np.uint8)
             once |= seen
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "bits": [zlib.compress(again.tobytes(), 1)]})
-
-    parts = hashes.select("hash").mapInPandas(build, "shard long, once binary, again binary")
-    return parts.groupBy("shard").applyInPandas(merge, "shard long, bits binary")
+        return pd.DataFrame(
+            {"shard": [int(pdf["shard"].iloc[0])], "once": [zlib.compress(once.tobytes(), 1)], "again": [zlib.compress(again.tobytes(), 1)]}
+        )
+
+    schema = "shard long, once binary, again binary"
+    parts = hashes.select("hash").mapInPandas(build, schema).withColumn("part", F.spark_partition_id())
+    n_parts = hashes.rdd.getNumPartitions()
+    while n_parts > MERGED_AT_ONCE:  # a level of the tree
+        n_parts = -(-n_parts // MERGED_AT_ONCE)
+        merged = parts.groupBy("shard", F.pmod("part", F.lit(n_parts)).alias("part")).applyInPandas(
+            lambda key, pdf: merge(pdf).assign(part=int(key[1])), schema + ", part int"
+        )
+        parts = cut(merged)
+    return parts.groupBy("shard").applyInPandas(merge, schema).select("shard", F.col("again").alias("bits"))
 
 
 def flag_possible_repeats(records: DataFrame, n_keys: int | None = None, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -127,9 +138,12 @@ def flag_possible_repeats(records: DataFrame, n_keys: int | None = None, max_fil
     passes = -(-shards_needed // per_pass)
     shards = -(-shards_needed // passes)
     spark = records.sparkSession
+    if passes > 1:
+        records = cut(records)
     out = None
     for k in range(passes):
-        mine = records if passes == 1 else records.filter(F.pmod(F.col("hash"), F.lit(passes)) == k)
+        # a hash of the hash, so that the bits of a pass are independent of the places in its filter
+        mine = records if passes == 1 else records.filter(F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(passes)) == k)
         rows = repeated_filter(mine.filter(F.col("key").isNotNull()), shards).collect()  # at most max_filter_bytes
         told = spark.sparkContext.broadcast({r.shard: bytes(r.bits) for r in rows})
 

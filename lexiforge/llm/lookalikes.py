@@ -5,7 +5,8 @@ DuckDB runs inside the Arrow partitions (one thread, no files): embedded SQL map
 with regular expressions. The tables are made from Unicode data by rule; the look-alike letters are fixed values.
 
 A word (a run of letters) that mixes Latin, Cyrillic and Greek is rewritten in the one script that can hold all of
-its letters; a word made only of look-alikes is rewritten if the rest of the text is in another script. Emoji sequences
+its letters; a word made only of look-alikes is rewritten if the rest of the text is in another script. A single Latin letter in a
+Cyrillic text is rewritten if the next word is Cyrillic (a preposition), and stays otherwise (a type, a size). Emoji sequences
 keep their joiners, joiners of scripts that need them stay, and signs with a look of their own (TM, superscripts,
 fractions, degree) stay. Letter case and the number of ordinary blanks are no differences of characters.
 
@@ -35,10 +36,14 @@ AS_GREEK = "ονριυαΑΒΕΖΗΙΚΜΝΟΡΤΥΧκόύίά"
 PHONETIC, PHONETIC_AS = "ɑɡ", "ag"
 INVISIBLE = (
     r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}"
-    r"\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{E0000}-\x{E007F}"
+    r"\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}"
 )
 BLANKS = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 EMOJI = r"\x{00A9}\x{00AE}\x{2190}-\x{2BFF}\x{FE0F}\x{1F000}-\x{1FAFF}"
+TAGS = r"\x{E0000}-\x{E007F}"  # don't show, but spell the name of a flag behind a black one
+FLAG = r"\x{1F3F4}[\x{E0020}-\x{E007E}]+\x{E007F}"
+# A joiner that stays is written as a code while the others are removed; the code's own sign is written as another code, so no text is altered.
+SIGN = "chr(57344)"
 JOINING = r"\p{Arabic}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}\p{Mongolian}"
 COMPAT_TAGS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -96,17 +101,20 @@ def unify_sql() -> str:
                       ELSE w END
              WHEN regexp_matches(w, '\\p{{Cyrillic}}') AND NOT own_cyr AND other AND NOT {foreign_left('w')} THEN {to_latin('w')}
              WHEN regexp_matches(w, '\\p{{Greek}}') AND NOT own_greek AND other AND NOT {foreign_left('w')} THEN {to_latin('w')}
-             WHEN own_cyr AND length(w) = 1 AND regexp_matches(w, '^[aceopyxACEOPYX]$') AND NOT regexp_matches(t, '(?i)(usb|type)[ -]' || w)
+             WHEN own_cyr AND length(w) = 1 AND regexp_matches(w, '^[aceopyxACEOPYX]$') AND regexp_matches(coalesce(parts[i + 2], ''), '\\p{{Cyrillic}}')
                   THEN {to_cyr('w')}
              ELSE w END"""
     return f"""
     WITH raw AS (SELECT src, row_id, keyword, keyword AS t FROM batch),
-    joiners AS (
-        SELECT * REPLACE (regexp_replace(regexp_replace(t,
-            '([{EMOJI}])\\x{{200D}}', '\\1' || chr(57344), 'g'),
-            '([{JOINING}])([\\x{{200C}}\\x{{200D}}])', '\\1' || chr(57345) || '\\2', 'g') AS t) FROM raw),
+    flags AS (
+        SELECT * REPLACE (CASE WHEN regexp_matches(t, '[{TAGS}]') THEN array_to_string(list_transform(
+            regexp_extract_all(t, '{FLAG}|[^\\x{{1F3F4}}]+|\\x{{1F3F4}}'),
+            lambda x: CASE WHEN regexp_full_match(x, '{FLAG}') THEN x ELSE regexp_replace(x, '[{TAGS}]', '', 'g') END), '') ELSE t END AS t) FROM raw),
     held AS (
-        SELECT * REPLACE (replace(replace(t, chr(57345) || chr(8204), chr(57345)), chr(57345) || chr(8205), chr(57346)) AS t) FROM joiners),
+        SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(replace(t, {SIGN}, {SIGN} || '0'),
+            '([{EMOJI}])\\x{{200D}}', '\\1' || {SIGN} || '1', 'g'),
+            '([{JOINING}])\\x{{200D}}', '\\1' || {SIGN} || '1', 'g'),
+            '([{JOINING}])\\x{{200C}}', '\\1' || {SIGN} || '2', 'g') AS t) FROM flags),
     shown AS (
         SELECT * REPLACE (regexp_replace(regexp_replace(t, '[{INVISIBLE}]', '', 'g'), '[{BLANKS}]', ' ', 'g') AS t) FROM held),
     plain AS (
@@ -120,12 +128,13 @@ def unify_sql() -> str:
                regexp_matches(t, '[\\p{{Latin}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]') AS other,
                regexp_matches(t, '[\\p{{Cyrillic}}\\p{{Greek}}]') AS mixed
         FROM composed),
+    cut AS (
+        SELECT *, CASE WHEN mixed THEN regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+') END AS parts FROM scripts),
     worded AS (
-        SELECT * REPLACE (CASE WHEN mixed THEN array_to_string(list_transform(
-            regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), '') ELSE t END AS t) FROM scripts),
+        SELECT * REPLACE (CASE WHEN mixed THEN array_to_string(list_transform(parts, lambda w, i: {word}), '') ELSE t END AS t) FROM cut),
     done AS (
         SELECT src, row_id, keyword,
-               nfc_normalize(replace(replace(replace(t, chr(57344), chr(8205)), chr(57345), chr(8204)), chr(57346), chr(8205))) AS form
+               nfc_normalize(replace(replace(replace(t, {SIGN} || '1', chr(8205)), {SIGN} || '2', chr(8204)), {SIGN} || '0', {SIGN})) AS form
         FROM worded)
     SELECT src, row_id, keyword, form <> keyword AS disguised,
            trim(regexp_replace(form, '\\s+', ' ', 'g')) AS unified

@@ -41,6 +41,21 @@ def test_hot_key_many_partitions_and_passes(spark, monkeypatch):
     assert sum(not r.maybe for r in flagged) > 0.9 * sum(len(g) == 1 for g in groups.values())
 
 
+def test_filters_of_many_partitions_are_merged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(dupes, "MERGED_AT_ONCE", 3)
+    df = spark.createDataFrame([(i, 1, f"w{i % 150}", 1, None) for i in range(200)], ROWS)
+    recs = dupes.keyword_records(spark.createDataFrame([], DEMO), df.repartition(11, "row_id"))
+    assert {(r.keep_id, r.dup_id) for r in dupes.copies(recs).collect()} == {(i, i + 150) for i in range(50)}
+
+
+def test_more_passes_let_no_more_singletons_through(spark):
+    df = spark.createDataFrame([(i, 1, f"w{i}", 1, None) for i in range(30_000)], ROWS)
+    recs = dupes.keyword_records(spark.createDataFrame([], DEMO), df)
+    rate = lambda **size: dupes.flag_possible_repeats(recs, **size).filter("maybe").count() / 30_000
+    assert rate() < 0.03 and rate(max_filter_bytes=1 << 12, n_keys=30_000) < 0.03
+    assert rate(n_keys=500_000, max_filter_bytes=1 << 16) < 0.03
+
+
 def test_empty_tables(spark):
     empty = records(spark, [], [])
     assert dupes.copies(empty).collect() == [] and dupes.collapsed(empty).collect() == []

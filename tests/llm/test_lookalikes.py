@@ -5,10 +5,10 @@ from lexiforge.llm import lookalikes as lk
 CASES = {
     "ｂｅｓｔ laptop": "best laptop", "usb​hub": "usbhub", "a b": "a b", "café": "café", "fοr kids": "for kids", "сlеan": "clean", "ТОР rated": "TOP rated",
     "ﾉｰﾄﾊﾟｿｺﾝ": "ノートパソコン", "ｶﾞｰﾄﾞ": "ガード", "𝚐𝚊𝚖𝚒𝚗𝚐": "gaming", "oﬃce": "office", "нayшники": "наушники", "φoρητός": "φορητός", "c большой": "с большой", "ruvоrіtɑ": "ruvorita",
-    "trѐs": "très", "a　b": "a b", "йод": "йод", "soft­hyphen": "softhyphen",
+    "trѐs": "très", "a　b": "a b", "йод": "йод", "soft­hyphen": "softhyphen", "dell c экраном": "dell с экраном", "hid\U000E0061den": "hidden", "\ue0001 u\u200bp": "\ue0001 up",
 }
 FINE = [
-    "", "plain", "two  blanks", "tab\tand\nbreak", "CAFÉ", "12 m²", "½ l", "brand™ ® n°2", "👩‍💻 laptop", "наушники с большой батареей", "Tamilowick наушники", "роутер usb c 16gb",
+    "", "plain", "two  blanks", "tab\tand\nbreak", "CAFÉ", "12 m²", "½ l", "brand™ ® n°2", "👩‍💻 laptop", "наушники с большой батареей", "Tamilowick наушники", "роутер usb c 16gb", "кабель usb c", "кабель hdmi c", "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F hoodie", "\ue000 own \ue001 signs \ue002", "\ue0001 x \ue0002",
     "για γραφείο 4k", "Velavata ακουστικά", "ノートパソコン 安い", "प्रौद्योगिकी क्‍ष", "می‌خواهم",
 ]
 
