@@ -28,14 +28,90 @@ def distribution(df: DataFrame, *columns: str) -> DataFrame:
     return kept.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def middle(df: DataFrame, column: str, buckets: int = 4096) -> DataFrame:
+    """(median): the exact median without holding all values in one task.
+
+    Values are counted in equal ranges between the least and the most; the ranges that hold the middle are then counted value by value,
+    narrower each time, until a range has one value or few. Null and NaN are no values; without any the result is one null.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    low, high, n = v.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    spark = df.sparkSession
+    if not n:
+        return spark.createDataFrame([(None,)], "median double")
+
+    def ranked(k: int) -> float:
+        """The k-th value from 0."""
+        a, b, rank = low, high, k
+        while a < b:
+            step = (b - a) / buckets
+            if step == 0 or a + step == a:
+                break
+            place = F.least(F.floor((F.col("v") - a) / step), F.lit(buckets - 1))
+            rows = v.filter(F.col("v").between(a, b)).groupBy(place.alias("p")).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("p").collect()
+            for r in rows:  # at most ``buckets`` rows
+                if rank < r.n:
+                    a, b = r.a, r.b
+                    break
+                rank -= r.n
+        return a
+
+    half = (n - 1) // 2
+    first = ranked(half)
+    second = first if n % 2 else ranked(half + 1)
+    return spark.createDataFrame([((first + second) / 2,)], "median double")
+
+
 def number_stats(df: DataFrame, column: str) -> DataFrame:
-    """Mean, median, least, most, valid and missing of a column that may hold text."""
-    v = F.expr(f"try_cast({column} as double)")
-    return df.select(v.alias("v")).agg(
-        F.round(F.coalesce(F.avg("v"), F.lit(0.0)), 4).alias("mean"), F.coalesce(F.median("v"), F.lit(0.0)).alias("median"),
-        F.coalesce(F.min("v"), F.lit(0.0)).alias("least"), F.coalesce(F.max("v"), F.lit(0.0)).alias("most"),
+    """Mean, median, least, most, valid and missing of a column that may hold text; 0 where there are no values."""
+    v = df.select(F.expr(f"try_cast({column} as double)").alias("v"))
+    most = v.agg(
+        F.round(F.coalesce(F.avg("v"), F.lit(0.0)), 4).alias("mean"), F.coalesce(F.min("v"), F.lit(0.0)).alias("least"), F.coalesce(F.max("v"), F.lit(0.0)).alias("most"),
         F.count("v").alias("n_valid"), (F.count(F.lit(1)) - F.count("v")).alias("n_missing"),
     )
+    median = middle(v, "v").first()[0] or 0.0
+    return most.select("mean", F.lit(float(median)).alias("median"), "least", "most", "n_valid", "n_missing")
+
+
+#: Buckets of reports.
+RELEVANCES = ("relevant", "irrelevant", "uncertain")
+QUALITIES = ("excellent", "good", "fair", "poor", "unknown")
+
+
+def relevance_distribution(df: DataFrame, relevant: Column, reviewed: Column) -> DataFrame:
+    """One row with the rows of each relevance: those for a review are uncertain, whatever else they are."""
+    r = F.when(F.coalesce(reviewed, F.lit(False)), "uncertain").when(F.coalesce(relevant, F.lit(False)), "relevant").otherwise("irrelevant")
+    return fixed_buckets(df.select(r.alias("relevance")), "relevance", RELEVANCES)
+
+
+def quality_distribution(df: DataFrame, confidence: str, steps: tuple[float, float, float] = (0.9, 0.75, 0.5)) -> DataFrame:
+    """One row with the rows of each quality; null and NaN are unknown."""
+    c = F.expr(f"try_cast({confidence} as double)")
+    q = F.when(c.isNull() | F.isnan(c), "unknown")
+    for bound, name in zip(steps, QUALITIES):
+        q = q.when(c >= bound, name)
+    return fixed_buckets(df.select(q.otherwise("poor").alias("quality")), "quality", QUALITIES)
+
+
+def accounting(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """(total, <part> ..., balanced): whether each row is in just one of the parts."""
+    held = sum((F.coalesce(c, F.lit(False)).cast("int") for c in parts.values()), F.lit(0))
+    counts = df.agg(
+        F.count(F.lit(1)).alias("total"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in parts.items()], (F.count_if(held != 1) == 0).alias("balanced")
+    )
+    return counts
+
+
+def health(errors: int, warnings: int = 0) -> str:
+    """HEALTHY, or DEGRADED if a stage had an error."""
+    return "DEGRADED" if errors else "HEALTHY"
+
+
+def key_figures(df: DataFrame, group: str, flags: dict[str, Column]) -> DataFrame:
+    """(metric, n): rows, distinct groups and rows with each flag, one a row, as dashboards and summary sheets show them."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(group).alias(f"distinct_{group}"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
+    names = row.columns
+    return row.select(F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, `{n}`' for n in names)}) as (metric, n)"))
 
 
 def top_rows(df: DataFrame, by: str, n: int = 10, tie: str = "row_id", keep: tuple[str, ...] = ("keyword",)) -> DataFrame:

@@ -134,46 +134,27 @@ def _whole(text: str):
         return None
 
 
-def _lines(text: str):
-    rows = []
-    for line in filter(None, map(str.strip, text.splitlines())):
-        got = _whole(line.rstrip(","))
-        if not isinstance(got, dict):
-            return None
-        rows.append(got)
-    return rows or None
-
-
-def _balanced(text: str):
-    """Objects found by counting braces outside of strings."""
-    rows, depth, start, quoted, escaped = [], 0, 0, False, False
-    for i, c in enumerate(text):
-        if quoted:
-            quoted = not (c == '"' and not escaped)
-            escaped = c == "\\" and not escaped
-            continue
-        if c == '"':
-            quoted = True
-        elif c == "{":
-            start = i if depth == 0 else start
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth and isinstance(got := _whole(text[start : i + 1]), dict):
-                rows.append(got)
+def _scattered(text: str):
+    """Objects that stand anywhere in a text, read from each brace on by the decoder itself."""
+    read, rows, at = json.JSONDecoder().raw_decode, [], text.find("{")
+    while at >= 0:
+        try:
+            got, end = read(text, at)
+            rows.append(got)
+        except ValueError:
+            end = at + 1
+        at = text.find("{", end)
     return rows or None
 
 
 def repair_json(raw: str | None) -> list[dict]:
-    """Rows of an answer: whole JSON, JSON lines, or the objects in it; wrappers and column-wise answers are opened."""
+    """Rows of an answer: whole JSON or the objects in it; wrappers and column-wise answers are opened."""
     text = (raw or "").strip()
     if text.startswith("```"):
         text = text.split("\n", 1)[-1].rsplit("```", 1)[0].strip()
     got = _whole(text)
     if got is None:
-        got = _lines(text)
-    if got is None:
-        got = _balanced(text)
+        got = _scattered(text)
     if isinstance(got, dict):
         if got and all(isinstance(v, list) for v in got.values()) and len(got) > 1 and len({len(v) for v in got.values()}) == 1:
             got = [dict(zip(got, row)) for row in zip(*got.values())]
@@ -192,12 +173,18 @@ def parse_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     good = marked.filter("_sound").select("answer_id", F.expr("posexplode(cast(_v as array<variant>))").alias("pos", "item"))
     good = good.select("answer_id", "pos", F.expr("to_json(item)").alias("item"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [(i, k, json.dumps(r, ensure_ascii=False, separators=(",", ":"))) for i, a in zip(pdf["answer_id"], pdf[column]) for k, r in enumerate(repair_json(a))]
-            yield pd.DataFrame(rows, columns=["answer_id", "pos", "item"])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            got = [(i, k, json.dumps(r, ensure_ascii=False, separators=(",", ":"))) for i, a in enumerate(texts) for k, r in enumerate(repair_json(a))]
+            owner, places, items = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()), pa.array(items, pa.string())], names=["answer_id", "pos", "item"])
 
-    bad = marked.filter("not _sound").select("answer_id", column).mapInPandas(run, "answer_id long, pos int, item string")
+    # the id may be of any type, a struct too
+    kind = answers.schema["answer_id"].dataType.simpleString()
+    bad = marked.filter("not _sound").select("answer_id", column).mapInArrow(run, f"answer_id {kind}, pos int, item string")
     return good.unionByName(bad)
 
 

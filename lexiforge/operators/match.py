@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.runtime import bounded_rows
+
+MAX_COMPANIES = 100  # names of one profile's company
+
 
 def word_text(c: Column) -> Column:
     """Words of letters and digits, lower case, one blank between."""
@@ -59,14 +63,94 @@ def profile_context(found: DataFrame) -> DataFrame:
     )
 
 
-def cascade(keywords: DataFrame, rules: DataFrame, column: str = "keyword") -> DataFrame:
-    """(row_id, level, entity): the first rule of the lowest level that a keyword contains; rules are (kind, level, ord, entity)."""
-    as_entities = rules.select("kind", (F.col("level") * 1_000_000 + F.col("ord")).alias("ord"), "entity")
-    found = contained(keywords, as_entities, column)
-    return found.groupBy("row_id").agg(F.min(F.struct("ord", "entity")).alias("_f")).select("row_id", F.floor(F.col("_f.ord") / 1_000_000).cast("int").alias("level"), "_f.entity")
+#: The kinds of entities in the order of the resolvers, and the confidence of a match.
+KINDS = ("family", "product", "brand", "category", "technology", "synonym")
+SCORES = {"brand": 0.98, "family": 1.0, "product": 1.0, "technology": 1.0, "synonym": 1.0}
+CATEGORY_SCORE, STRONG_CATEGORY_SCORE, STRONG_EVIDENCE = 0.85, 0.92, 1.0
+
+
+def resolve(keywords: DataFrame, entities: DataFrame, column: str = "keyword") -> DataFrame:
+    """(row_id, kind, entity, parent, score): for each keyword and kind the first entity in order, with its confidence.
+
+    Entities are (kind, ord, entity, parent, evidence); parent is what a synonym stands for or the category a family or product belongs
+    to, 'Unknown' where a family or product has none. A category of more evidence than ``STRONG_EVIDENCE`` has the higher score.
+    """
+    found = contained(keywords, entities, column).join(entities.select("kind", "ord", "entity", "parent", "evidence"), ["kind", "ord", "entity"])
+    best = found.groupBy("row_id", "kind").agg(F.min(F.struct("ord", "entity", "parent", "evidence")).alias("_f"))
+    score = F.lit(None).cast("double")
+    for k, v in SCORES.items():
+        score = F.when(F.col("kind") == k, v).otherwise(score)
+    strong = F.coalesce(F.col("_f.evidence") > STRONG_EVIDENCE, F.lit(False))
+    score = F.when(F.col("kind") == "category", F.when(strong, STRONG_CATEGORY_SCORE).otherwise(CATEGORY_SCORE)).otherwise(score)
+    parent = F.when(F.col("kind").isin("family", "product"), F.coalesce("_f.parent", F.lit("Unknown"))).otherwise(F.col("_f.parent"))
+    return best.select("row_id", "kind", "_f.entity", parent.alias("parent"), score.alias("score"))
+
+
+def rule_context(keywords: DataFrame, entities: DataFrame, company: str = "", column: str = "keyword") -> DataFrame:
+    """One row a keyword: brand, category, family, product, technology, synonym, n_brands, confidence, needs_review, reason.
+
+    A family's or product's category stands unless a category of its own is contained; the company stands for the brand of families and
+    products, and is the brand of a keyword that names it. More than one brand is a comparison, and like a keyword without a match it needs a review.
+    """
+    found = resolve(keywords, entities, column)
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    wide = found.groupBy("row_id").agg(
+        *[of(k, "entity").alias(k) for k in KINDS], of("product", "parent").alias("_pc"), of("family", "parent").alias("_fc"), F.max("score").alias("_score")
+    )
+    brands = contained(keywords, entities.filter("kind = 'brand'"), column).groupBy("row_id").agg(
+        F.count_distinct("entity").alias("n_brands"), F.max(F.when(F.lower("entity") == company.lower(), F.col("entity"))).alias("_own")
+    )
+    parts = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k} '"), F.col(k), F.lit("'"))) for k in KINDS]
+    both = keywords.select("row_id").join(wide, "row_id", "left").join(brands, "row_id", "left")
+    n = F.coalesce("n_brands", F.lit(0))
+    made_by = F.when(F.coalesce("product", "family").isNotNull() & F.lit(company != ""), F.lit(company))
+    return both.select(
+        "row_id",
+        F.coalesce("_own", "brand", made_by).alias("brand"),
+        F.coalesce("category", "_pc", "_fc").alias("category"),
+        "family", "product", "technology", "synonym", n.alias("n_brands"),
+        F.when((n > 1) | F.col("_score").isNull(), 0.0).otherwise(F.col("_score")).alias("confidence"),
+        ((n > 1) | F.col("_score").isNull()).alias("needs_review"),
+        F.when(F.col("_score").isNull(), "No match").when(n > 1, "Comparison query")
+        .otherwise(F.concat(F.lit("Matched "), F.concat_ws(" and ", *parts))).alias("reason"),
+    )
+
+
+#: The levels of the cascade: kind, base confidence, growth with the evidence, most.
+LEVELS = (
+    ("company", 99, 0, 99), ("taxonomy", 90, 0, 90), ("brand", 70, 5, 95), ("product", 65, 5, 90), ("category", 60, 5, 85), ("family", 60, 5, 85),
+    ("alias", 85, 0, 85), ("technology", 80, 0, 80), ("service", 75, 0, 75), ("segment", 70, 0, 70), ("keyword", 65, 0, 65),
+)
+
+
+def cascade(keywords: DataFrame, entities: DataFrame, column: str = "keyword") -> DataFrame:
+    """(row_id, level, kind, entity, relevance, confidence): the first hit of the lowest level; without one a keyword is UNCERTAIN with 0.
+
+    Entities are (kind, ord, entity, evidence). The company counts wherever its letters stand, all else by whole words. Ties go to the
+    lower order, then the lesser entity. Companies are few names (one a profile) and compared as text.
+    """
+    levels = keywords.sparkSession.createDataFrame([(k, i, b, g, m) for i, (k, b, g, m) in enumerate(LEVELS, 1)], "kind string, level int, base int, growth int, most int")
+    known = entities.join(F.broadcast(levels), "kind")
+    by_words = contained(keywords, known.filter("kind <> 'company'"), column)
+    names = [(r.ord, r.entity) for r in bounded_rows(known.filter("kind = 'company' and entity <> ''").select("ord", "entity"), MAX_COMPANIES, "the company names")]
+    found = by_words
+    if names:
+        listed = F.array(*[F.struct(F.lit(o).cast("long").alias("ord"), F.lit(e).alias("entity")) for o, e in sorted(names)])
+        text = keywords.select("row_id", F.lower(column).alias("_t"))
+        hit = F.filter(listed, lambda c: F.col("_t").contains(F.lower(c["entity"])))
+        found = found.unionByName(text.select("row_id", F.inline(hit)).withColumn("kind", F.lit("company")))
+    scored = found.join(known, ["kind", "ord", "entity"])
+    confidence = F.least(F.col("most").cast("double"), F.col("base") + F.col("growth") * F.coalesce("evidence", F.lit(0.0)))
+    best = scored.groupBy("row_id").agg(F.min(F.struct("level", "ord", "entity", "kind", confidence.alias("confidence"))).alias("_f"))
+    return keywords.select("row_id").join(best, "row_id", "left").select(
+        "row_id", "_f.level", "_f.kind", "_f.entity",
+        F.when(F.col("_f").isNull(), "UNCERTAIN").otherwise("RELEVANT").alias("relevance"), F.coalesce("_f.confidence", F.lit(0.0)).alias("confidence"),
+    )
 
 
-def match_counts(keywords: DataFrame, found: DataFrame) -> DataFrame:
-    """(kind, matches, misses): keywords with and without an entity of each kind."""
+def match_counts(keywords: DataFrame, found: DataFrame, kinds: tuple[str, ...] = ("brand", "category")) -> DataFrame:
+    """(kind, matches, misses): keywords with and without an entity of each kind; a kind without any hit has 0 matches."""
+    listed = keywords.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
     hit = found.groupBy("kind").agg(F.count_distinct("row_id").alias("matches"))
-    return hit.select("kind", "matches", (F.lit(keywords.count()) - F.col("matches")).alias("misses"))
+    n = F.coalesce("matches", F.lit(0))
+    return listed.join(hit, "kind", "full").select("kind", n.alias("matches"), (F.lit(keywords.count()) - n).alias("misses"))

@@ -280,9 +280,45 @@ def match_counts(s, d):
     return match.match_counts(k, match.contained(k, _terms(s, d)))
 
 
+TECHNOLOGIES = ("144hz", "16gb", "usb c", "dual band", "bluetooth")
+
+
+def _resolved(s, d):
+    """Entities of all kinds: the list's brands, categories and short writings, families by the last word of a category, aliases as products."""
+    terms = table(s, d, "canon_terms").select("term_id", "kind", "term_name", "short_forms")
+    aliases = table(s, d, "fact_aliases")
+    seen = aliases.filter("base is not null").groupBy(F.col("base").alias("term_name")).agg(F.count(F.lit(1)).cast("double").alias("evidence"))
+    none, zero = F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("evidence")
+    named = terms.join(seen, "term_name", "left").select("kind", F.col("term_id").alias("ord"), F.col("term_name").alias("entity"), none, F.coalesce("evidence", F.lit(0.0)).alias("evidence"))
+    short = terms.select(F.lit("synonym").alias("kind"), F.col("term_id").alias("ord"), F.explode("short_forms").alias("entity"), F.col("term_name").alias("parent"), zero)
+    last = F.element_at(F.split("term_name", " "), -1)
+    families = (
+        terms.filter("kind = 'category'").groupBy(last.alias("entity")).agg(F.min("term_id").alias("ord"), F.min_by("term_name", "term_id").alias("parent"))
+        .select(F.lit("family").alias("kind"), "ord", "entity", "parent", zero)
+    )
+    products = (
+        aliases.filter("length(alias) > 3 and base is not null").groupBy(F.col("alias").alias("entity")).agg(F.min("alias_id").alias("ord"), F.min_by("base", "alias_id").alias("parent"))
+        .select(F.lit("product").alias("kind"), "ord", "entity", "parent", zero)
+    )
+    tech = s.createDataFrame([("technology", i, t, None, 0.0) for i, t in enumerate(TECHNOLOGIES, 1)], "kind string, ord long, entity string, parent string, evidence double")
+    return named.unionByName(short).unionByName(families).unionByName(products).unionByName(tech)
+
+
+def resolver_scores(s, d):
+    return match.resolve(_kw(s, d), _resolved(s, d))
+
+
+def rule_engine(s, d):
+    return match.rule_context(_kw(s, d), _resolved(s, d), "Snorandoq")
+
+
 def match_cascade(s, d):
-    rules = _terms(s, d).withColumn("level", F.when(F.col("kind") == "brand", 1).otherwise(2))
-    return match.cascade(_kw(s, d), rules)
+    kinds = _resolved(s, d).select(F.when(F.col("kind") == "synonym", "alias").otherwise(F.col("kind")).alias("kind"), "ord", "entity", "evidence")
+    companies = table(s, d, "companies")
+    own = companies.filter("company_id = 17").select(F.lit("company").alias("kind"), F.col("company_id").alias("ord"), F.split("company_name", " ")[0].alias("entity"), F.lit(0.0).alias("evidence"))
+    segments = companies.select("company_id", F.explode("customer_segments").alias("entity")).groupBy("entity").agg(F.min("company_id").alias("ord"))
+    segments = segments.select(F.lit("segment").alias("kind"), "ord", "entity", F.lit(0.0).alias("evidence"))
+    return match.cascade(_kw(s, d), kinds.unionByName(own.filter("entity is not null")).unionByName(segments))
 
 
 # --- look-ups
@@ -316,8 +352,15 @@ def lookup_stats(s, d):
 
 def answers_parsed(s, d):
     """The JSON payloads of the feeds as answers: one object an answer."""
-    answers = table(s, d, "feed_rows").select((F.col("file_id") * 1_000_000 + F.col("line_no")).alias("answer_id"), F.concat(F.lit("["), "payload", F.lit("]")).alias("answer"))
-    return lookup.parse_answers(answers).groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"))
+    answers = table(s, d, "feed_rows").select(F.struct("file_id", "line_no").alias("answer_id"), F.concat(F.lit("["), "payload", F.lit("]")).alias("answer"))
+    return lookup.parse_answers(answers).groupBy("answer_id").agg(F.count(F.lit(1)).alias("n")).select("answer_id.*", "n")
+
+
+def answers_repaired(s, d):
+    """The same payloads as a talkative provider sends them, so that each answer must be repaired."""
+    talk = F.concat(F.lit("Here you are: "), F.col("payload"), F.lit(" and {no json} besides"))
+    answers = table(s, d, "feed_rows").select(F.struct("file_id", "line_no").alias("answer_id"), talk.alias("answer"))
+    return lookup.parse_answers(answers).groupBy("answer_id").agg(F.count(F.lit(1)).alias("n")).select("answer_id.*", "n")
 
 
 # --- analytics
@@ -386,6 +429,23 @@ def export_view(s, d):
     return analytics.export_order(view, "relevant", "confidence", "context_id")
 
 
+def relevance_distribution(s, d):
+    return analytics.relevance_distribution(table(s, d, "keyword_context"), F.col("brand").isNotNull(), F.col("requires_ai"))
+
+
+def quality_distribution(s, d):
+    return analytics.quality_distribution(table(s, d, "keyword_context"), "business_confidence")
+
+
+def accounting_check(s, d):
+    with_brand, with_category = F.col("brand").isNotNull(), F.col("category").isNotNull()
+    return analytics.accounting(table(s, d, "keyword_context"), {"by_brand": with_brand, "by_category_alone": ~with_brand & with_category, "by_none": ~with_brand & ~with_category})
+
+
+def key_figures(s, d):
+    return analytics.key_figures(table(s, d, "keyword_context"), "company_id", {"needs_review": F.col("requires_ai"), "settled": ~F.col("requires_ai"), "with_brand": F.col("brand").isNotNull()})
+
+
 def queries() -> dict:
     own = (
         "p5_found p5_unified p5_union p7_found p7_clean"
@@ -395,9 +455,9 @@ def queries() -> dict:
         " keyword_fuzzy_edges keyword_groups keyword_status keyword_stats keyword_components"
         " blocking_prefix blocking_length extract_navigation extract_headings extract_url_segments extract_links page_text url_filter"
         " crawl_budget entity_evidence taxonomy_edges entity_split family_mining alias_mining synonym_mining brand_canonical fact_warnings"
-        " profile_quality match_all match_first match_profile match_counts match_cascade lookup_volume lookup_classes lookup_cache_split"
-        " lookup_batches lookup_merge lookup_stats answers_parsed dataset_stats intent_distribution category_distribution reconciliation"
+        " profile_quality match_all match_first match_profile match_counts resolver_scores rule_engine match_cascade lookup_volume lookup_classes lookup_cache_split"
+        " lookup_batches lookup_merge lookup_stats answers_parsed answers_repaired dataset_stats intent_distribution category_distribution reconciliation"
         " volume_stats top_keywords top_category dominant_intent mean_confidence run_summary health_report quality_gates out_of_range"
-        " event_timers export_view"
+        " event_timers export_view relevance_distribution quality_distribution accounting_check key_figures"
     )
     return {name: globals()[name] for name in own.split()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexiforge.functions import textnorm as tn
-from lexiforge.operators import analytics, drift, profile, schema
+from lexiforge.operators import analytics, drift, match, profile, schema
 
 _LINES = r"""
     lines AS (
@@ -212,6 +212,26 @@ _RUNS = r"""wk AS (SELECT row_id, string_split(trim(regexp_replace(lower(keyword
 _INTENTS = analytics.INTENTS
 
 
+def _words_of(x: str) -> str:
+    return rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+_TECHNOLOGIES = ("144hz", "16gb", "usb c", "dual band", "bluetooth")
+_RESOLVED = f"""
+    ev AS (SELECT base, count(*)::DOUBLE AS evidence FROM fact_aliases WHERE base IS NOT NULL GROUP BY base),
+    ent AS (
+        SELECT kind, term_id AS ord, term_name AS entity, NULL AS parent, coalesce(evidence, 0) AS evidence FROM canon_terms LEFT JOIN ev ON base = term_name
+        UNION ALL SELECT 'synonym', term_id, unnest(short_forms), term_name, 0 FROM canon_terms
+        UNION ALL SELECT 'family', min(term_id), string_split(term_name, ' ')[-1], arg_min(term_name, term_id), 0 FROM canon_terms WHERE kind = 'category' GROUP BY string_split(term_name, ' ')[-1]
+        UNION ALL SELECT 'product', min(alias_id), alias, arg_min(base, alias_id), 0 FROM fact_aliases WHERE length(alias) > 3 AND base IS NOT NULL GROUP BY alias
+        UNION ALL SELECT 'technology', ord, entity, NULL, 0 FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_TECHNOLOGIES, 1))}) x(ord, entity)),
+    kwt AS (SELECT row_id, ' ' || {_words_of('keyword')} || ' ' AS t FROM demo_keywords WHERE keyword IS NOT NULL),
+    hits AS (SELECT row_id, kind, ord, entity, parent, evidence FROM kwt, (SELECT *, {_words_of('entity')} AS run FROM ent) WHERE run <> '' AND contains(t, ' ' || run || ' ')),
+    firsts AS (SELECT row_id, kind, arg_min(struct_pack(entity, parent, evidence), (ord, entity)) AS f FROM hits GROUP BY row_id, kind),
+    resolved AS (SELECT row_id, kind, f.entity AS entity, CASE WHEN kind IN ('family', 'product') THEN coalesce(f.parent, 'Unknown') ELSE f.parent END AS parent,
+        CASE kind WHEN 'brand' THEN 0.98 WHEN 'category' THEN CASE WHEN f.evidence > 1 THEN 0.92 ELSE 0.85 END ELSE 1.0 END::DOUBLE AS score FROM firsts)"""
+
+
 def _union() -> str:
     """The fields of all JSON records with their kinds; the table of names is the operator's parameter."""
     pairs = ", ".join(f"('{n}', '{q}')" for q, ns in drift.KNOWN_NAMES.items() for n in sorted({*ns, q.replace("_", " ")}))
@@ -318,9 +338,30 @@ def oracle_sql() -> dict[str, str]:
         "match_profile": f"""WITH {_RUNS}, f AS (SELECT row_id, kind, arg_min(entity, (ord, entity)) AS entity, count(*) AS n FROM found GROUP BY row_id, kind),
             w AS (SELECT row_id, max(entity) FILTER (kind = 'brand') AS brand, max(entity) FILTER (kind = 'category') AS category, coalesce(max(n) FILTER (kind = 'brand'), 0) AS n_brands FROM f GROUP BY row_id)
             SELECT *, CASE WHEN n_brands > 1 THEN 'Comparison query' ELSE 'Matched ' || concat_ws(' and ', 'brand ''' || brand || '''', 'category ''' || category || '''') END AS reason FROM w""",
-        "match_counts": f"WITH {_RUNS} SELECT kind, count(DISTINCT row_id) AS matches, (SELECT count(*) FROM demo_keywords) - count(DISTINCT row_id) AS misses FROM found GROUP BY kind",
-        "match_cascade": f"""WITH {_RUNS}, l AS (SELECT row_id, CASE kind WHEN 'brand' THEN 1 ELSE 2 END AS lv, ord, entity FROM found)
-            SELECT row_id, arg_min(lv, (lv, ord, entity))::INTEGER AS level, arg_min(entity, (lv, ord, entity)) AS entity FROM l GROUP BY row_id""",
+        "match_counts": f"""WITH {_RUNS} SELECT kind, count(DISTINCT row_id) AS matches, (SELECT count(*) FROM demo_keywords) - count(DISTINCT row_id) AS misses
+            FROM (VALUES ('brand'), ('category')) k(kind) LEFT JOIN found USING (kind) GROUP BY kind""",
+        "resolver_scores": f"WITH {_RESOLVED} SELECT row_id, kind, entity, parent, score FROM resolved",
+        "rule_engine": f"""WITH {_RESOLVED},
+            w AS (SELECT row_id, {", ".join(f"max(entity) FILTER (kind = '{k}') AS {k}" for k in match.KINDS)},
+                max(parent) FILTER (kind = 'product') AS pc, max(parent) FILTER (kind = 'family') AS fc, max(score) AS score FROM resolved GROUP BY row_id),
+            b AS (SELECT row_id, count(DISTINCT entity) AS nb, max(entity) FILTER (lower(entity) = 'snorandoq') AS own FROM hits WHERE kind = 'brand' GROUP BY row_id)
+            SELECT d.row_id, coalesce(own, brand, CASE WHEN product IS NOT NULL OR family IS NOT NULL THEN 'Snorandoq' END) AS brand, coalesce(category, pc, fc) AS category,
+            family, product, technology, synonym, coalesce(nb, 0) AS n_brands, CASE WHEN coalesce(nb, 0) > 1 OR score IS NULL THEN 0.0 ELSE score END::DOUBLE AS confidence,
+            coalesce(nb, 0) > 1 OR score IS NULL AS needs_review,
+            CASE WHEN score IS NULL THEN 'No match' WHEN coalesce(nb, 0) > 1 THEN 'Comparison query'
+                ELSE 'Matched ' || concat_ws(' and ', {", ".join(f"'{k} ' || chr(39) || {k} || chr(39)" for k in match.KINDS)}) END AS reason
+            FROM demo_keywords d LEFT JOIN w ON d.row_id = w.row_id LEFT JOIN b ON d.row_id = b.row_id""",
+        "match_cascade": f"""WITH {_RESOLVED},
+            lv(kind, level, base, growth, most) AS (VALUES {", ".join(f"('{k}', {i}, {b}, {g}, {m})" for i, (k, b, g, m) in enumerate(match.LEVELS, 1))}),
+            seg AS (SELECT e AS entity, min(company_id) AS ord FROM (SELECT company_id, unnest(customer_segments) AS e FROM companies) GROUP BY e),
+            own AS (SELECT string_split(company_name, ' ')[1] AS entity, company_id AS ord FROM companies WHERE company_id = 17),
+            all_hits AS (
+                SELECT row_id, CASE kind WHEN 'synonym' THEN 'alias' ELSE kind END AS kind, ord, entity, evidence FROM hits
+                UNION ALL SELECT row_id, 'segment', ord, entity, 0 FROM kwt, seg WHERE contains(t, ' ' || {_words_of('entity')} || ' ')
+                UNION ALL SELECT row_id, 'company', ord, entity, 0 FROM demo_keywords, own WHERE contains(lower(keyword), lower(entity))),
+            best AS (SELECT row_id, arg_min(struct_pack(level, kind, entity, c := least(most::DOUBLE, base + growth * evidence)), (level, ord, entity)) AS f FROM all_hits JOIN lv USING (kind) GROUP BY row_id)
+            SELECT d.row_id, f.level, f.kind, f.entity, CASE WHEN f IS NULL THEN 'UNCERTAIN' ELSE 'RELEVANT' END AS relevance, coalesce(f.c, 0.0)::DOUBLE AS confidence
+            FROM demo_keywords d LEFT JOIN best USING (row_id)""",
         "lookup_volume": f"""SELECT keyword, 10 + {_md5_mod('keyword', 499_990)} AS search_volume,
             CASE WHEN {_md5_mod('keyword', 100)} < 30 THEN 'LOW' WHEN {_md5_mod('keyword', 100)} < 70 THEN 'MEDIUM' ELSE 'HIGH' END AS competition,
             round(0.05 + {_md5_mod('keyword', 4995)} / 100, 2)::DOUBLE AS cpc FROM (SELECT DISTINCT keyword FROM demo_keywords WHERE keyword IS NOT NULL)""",
@@ -334,7 +375,17 @@ def oracle_sql() -> dict[str, str]:
         "lookup_stats": """WITH k AS (SELECT DISTINCT keyword FROM demo_keywords WHERE keyword IS NOT NULL),
             t AS (SELECT count(*) AS total, count(*) FILTER (keyword IN (SELECT keyword FROM keyword_context WHERE keyword IS NOT NULL)) AS hits FROM k)
             SELECT total, hits, total - hits AS misses, ceil((total - hits) / 1000)::BIGINT AS batches, round(hits / total, 6)::DOUBLE AS hit_ratio FROM t""",
-        "answers_parsed": "SELECT file_id * 1000000 + line_no AS answer_id, count(*) AS n FROM feed_rows GROUP BY 1",
+        "answers_parsed": "SELECT file_id, line_no, count(*) AS n FROM feed_rows GROUP BY ALL",
+        "answers_repaired": "SELECT file_id, line_no, count(*) AS n FROM feed_rows GROUP BY ALL",
+        "relevance_distribution": """SELECT count(*) FILTER (NOT coalesce(requires_ai, false) AND brand IS NOT NULL) AS relevant,
+            count(*) FILTER (NOT coalesce(requires_ai, false) AND brand IS NULL) AS irrelevant, count(*) FILTER (requires_ai) AS uncertain FROM keyword_context""",
+        "quality_distribution": """SELECT count(*) FILTER (c >= 0.9) AS excellent, count(*) FILTER (c >= 0.75 AND c < 0.9) AS good, count(*) FILTER (c >= 0.5 AND c < 0.75) AS fair,
+            count(*) FILTER (c < 0.5) AS poor, count(*) FILTER (c IS NULL) AS unknown FROM (SELECT nullif(business_confidence, 'nan'::DOUBLE) AS c FROM keyword_context)""",
+        "accounting_check": """SELECT count(*) AS total, count(brand) AS by_brand, count(*) FILTER (brand IS NULL AND category IS NOT NULL) AS by_category_alone,
+            count(*) FILTER (brand IS NULL AND category IS NULL) AS by_none, true AS balanced FROM keyword_context""",
+        "key_figures": """SELECT 'rows' AS metric, count(*) AS n FROM keyword_context UNION ALL SELECT 'distinct_company_id', count(DISTINCT company_id) FROM keyword_context
+            UNION ALL SELECT 'needs_review', count(*) FROM keyword_context WHERE requires_ai UNION ALL SELECT 'settled', count(*) FROM keyword_context WHERE NOT requires_ai
+            UNION ALL SELECT 'with_brand', count(brand) FROM keyword_context""",
         "dataset_stats": "SELECT count(*) AS total, count(DISTINCT keyword) AS n_unique, count(*) - count(DISTINCT keyword) AS duplicates FROM demo_keywords",
         "intent_distribution": "SELECT " + ", ".join(f"count(*) FILTER (intent = '{i}') AS {i}" for i in _INTENTS) + " FROM demo_keywords",
         "category_distribution": "SELECT category, count(*) AS n FROM keyword_context WHERE category IS NOT NULL GROUP BY category",

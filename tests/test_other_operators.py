@@ -1,6 +1,7 @@
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiforge.operators import analytics, lookup, match, profile, schema
 from lexiforge.sources import files, sinks
@@ -55,6 +56,47 @@ def test_matching_is_by_words_and_in_order(spark):
     assert match.profile_context(found).filter("row_id = 4").first().reason == "Comparison query"
 
 
+def test_resolvers_rule_engine_and_cascade(spark):
+    kw = spark.createDataFrame([(1, "acme lamp pro usb c"), (2, "lamp"), (3, "acme vs bolt"), (4, None), (5, "superacmeshop"), (6, "nothing")], "row_id long, keyword string")
+    ent = spark.createDataFrame(
+        [("brand", 1, "Acme", None, 3.0), ("brand", 2, "Bolt", None, 0.0), ("category", 1, "Lamp", None, 2.0), ("family", 1, "Lamp Pro", "Lamps", 0.0),
+         ("product", 1, "acme lamp", None, 0.0), ("technology", 1, "USB-C", None, 0.0), ("company", 10**7, "Acme", None, 0.0), ("segment", 1, "!", None, 0.0)],
+        "kind string, ord long, entity string, parent string, evidence double",
+    )
+    got = {(r.row_id, r.kind): (r.entity, r.parent, r.score) for r in match.resolve(kw, ent.filter("kind <> 'company'")).collect()}
+    assert got[1, "product"] == ("acme lamp", "Unknown", 1.0) and got[1, "family"][1] == "Lamps" and got[2, "category"][2] == 0.92 and got[1, "technology"][0] == "USB-C"
+    told = {r.row_id: r for r in match.rule_context(kw, ent.filter("kind <> 'company'"), "bolt").collect()}
+    assert told[3].reason == "Comparison query" and told[3].brand == "Bolt" and told[3].needs_review and told[4].reason == told[6].reason == "No match"
+    assert told[1].reason.startswith("Matched family 'Lamp Pro' and product 'acme lamp' and brand 'Acme'") and told[1].confidence == 1.0
+    levels = {r.row_id: (r.level, r.relevance, r.confidence) for r in match.cascade(kw, ent).collect()}
+    assert levels == {1: (1, "RELEVANT", 99.0), 2: (5, "RELEVANT", 70.0), 3: (1, "RELEVANT", 99.0), 4: (None, "UNCERTAIN", 0.0), 5: (1, "RELEVANT", 99.0), 6: (None, "UNCERTAIN", 0.0)}
+    counts = {r.kind: (r.matches, r.misses) for r in match.match_counts(kw, match.contained(kw, ent.filter("kind = 'brand'")), ("brand", "service")).collect()}
+    assert counts == {"brand": (2, 4), "service": (0, 6)}
+    assert match.cascade(kw.limit(0), ent.limit(0)).collect() == []
+
+
+def test_the_exact_median_is_found_in_ranges(spark):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    for n in (0, 1, 2, 7, 500):
+        values = [rng.choice([rng.gauss(0, 1e6), 5.0, 1e-9]) for _ in range(n)] + [None, float("nan")]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        want = statistics.median(values[:n]) if n else None
+        assert analytics.middle(df, "v", 7).first()[0] == want
+
+
+def test_distributions_and_accounts(spark):
+    df = spark.createDataFrame([(1, 0.95, True, False), (2, 0.6, False, None), (3, None, None, True), (4, float("nan"), True, True)], "row_id long, c double, keep boolean, ask boolean")
+    assert tuple(analytics.relevance_distribution(df, F.col("keep"), F.col("ask")).first()) == (1, 1, 2)
+    assert tuple(analytics.quality_distribution(df, "c").first()) == (1, 0, 1, 0, 2)
+    assert tuple(analytics.accounting(df, {"a": F.col("keep"), "b": ~F.coalesce("keep", F.lit(False))}).first()) == (4, 2, 2, True)
+    assert not analytics.accounting(df, {"a": F.col("keep"), "b": F.col("ask")}).first().balanced
+    assert {r.metric: r.n for r in analytics.key_figures(df, "row_id", {"asked": F.col("ask")}).collect()} == {"rows": 4, "distinct_row_id": 4, "asked": 2}
+    assert analytics.health(0) == "HEALTHY" and analytics.health(2) == "DEGRADED"
+
+
 def test_pages_to_entities(spark):
     html = """<nav><ul><li><a href="/a">Laptops</a></li></ul></nav><h1>Legion <b>5</b></h1><h2>Gaming</h2><a href="/x/">x</a>
     <script type="application/ld+json">{"@type":"Product","name":"Legion 5","brand":{"name":"Lenovo"}}</script><script type="application/ld+json">bad</script>"""
