@@ -54,10 +54,9 @@ def quantity(c: Column, names: dict = KNOWN_NAMES) -> Column:
     return F.coalesce(F.try_element_at(table, name_key(c)), F.concat(F.lit("?"), name_key(c)))
 
 
-def kind_of(c: Column) -> Column:
-    """The kind of a variant; null for a JSON null."""
+def kind_of(t: Column) -> Column:
+    """The kind of a variant by its type; null for a JSON null."""
     # 5.0 is kept as DECIMAL(1,0), whole numbers as BIGINT or, beyond it, DECIMAL(19 and more,0)
-    t = F.schema_of_variant(c)
     digits = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
     return (
         F.when(t == "STRING", "string")
@@ -73,12 +72,13 @@ def cells(rows: DataFrame, payload: str = "payload", ids: tuple[str, ...] = ("fi
     """(ids, field, kind, value): one row a field of each record; the kind of a JSON null is null."""
     told = rows.select(*ids, F.try_parse_json(payload).alias("_v")).filter(F.schema_of_variant("_v").like("OBJECT%"))
     opened = told.lateralJoin(told.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-    return opened.select(*ids, F.col("key").alias("field"), kind_of(F.col("value")).alias("kind"), F.col("value").cast("string").alias("value"))
+    typed = opened.select(*ids, F.col("key").alias("field"), F.schema_of_variant("value").alias("_t"), F.col("value").cast("string").alias("value"))
+    return typed.select(*ids, "field", kind_of(F.col("_t")).alias("kind"), "value")
 
 
 def file_schemas(rows: DataFrame) -> DataFrame:
     """The tagged union of each file: (file_id, field, n_<kind> for each alternative, kind, and a profile of the values)."""
-    number = F.expr("try_cast(regexp_replace(regexp_replace(value, ',', ''), ' */.*$', '') as double)")
+    number = F.expr("try_cast(replace(substring_index(value, '/', 1), ',', '') as double)")
     got = (
         cells(rows)
         .groupBy("file_id", "field")
@@ -86,7 +86,7 @@ def file_schemas(rows: DataFrame) -> DataFrame:
             *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
             F.avg(F.length("value")).alias("_length"),
             F.avg(F.log1p(F.abs(number))).alias("_size"),
-            F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(lower(regexp_replace(value, '[\\\\[\\\\]\"]', ''))), 63) as int)))").alias("_marks"),
+            F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(lower(translate(value, '[]\"', ''))), 63) as int)))").alias("_marks"),
         )
     )
     most = F.greatest(*[f"n_{k}" for k in KINDS])
@@ -195,11 +195,9 @@ def unified(rows: DataFrame, names: dict = KNOWN_NAMES) -> DataFrame:
         .when(F.schema_of_variant(v) == "OBJECT<>", "empty")
     )
     opened = F.map_entries(F.when(is_object, v).cast("map<string,variant>"))
+    typed = F.transform(opened, lambda e: F.struct(e["key"], F.schema_of_variant(e["value"]).alias("t"), e["value"].cast("string").alias("value")))
     fields = F.transform(
-        opened,
-        lambda e: F.struct(
-            quantity(e["key"], names).alias("quantity"), e["key"].alias("field"), kind_of(e["value"]).alias("kind"), e["value"].cast("string").alias("value")
-        ),
+        typed, lambda e: F.struct(quantity(e["key"], names).alias("quantity"), e["key"].alias("field"), kind_of(e["t"]).alias("kind"), e["value"])
     )
     parsed = rows.select("file_id", "line_no", "payload", F.try_parse_json("payload").alias("_v"))
     one = parsed.select(
