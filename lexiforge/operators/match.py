@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexiforge.runtime import bounded_rows
 
 MAX_COMPANIES = 100  # names of one profile's company
+FEW_ENTITIES = 2_000  # entities that are broadcast to the keywords
 
 
 def word_text(c: Column) -> Column:
@@ -31,14 +32,22 @@ def word_runs(keywords: DataFrame, column: str, lengths: list[int]) -> DataFrame
     return keywords.select("row_id", words.alias("_w")).select("row_id", F.explode(F.array_distinct(runs)).alias("run")).filter("run <> ''")
 
 
-def contained(keywords: DataFrame, entities: DataFrame, column: str = "keyword") -> DataFrame:
-    """(row_id, kind, ord, entity): every entity contained in each keyword; entities are (kind, ord, entity).
+def _hits(keywords: DataFrame, entities: DataFrame, column: str) -> DataFrame:
+    """row_id and all columns of every entity contained in each keyword, once or more.
 
-    The runs have just the numbers of words that occur among the entities.
+    The runs have just the numbers of words that occur among the entities. They are many more than the table's size tells the planner, so
+    how they are joined isn't left to it: few entities are broadcast, else both sides are sorted; the runs are never broadcast.
     """
-    patterns = entities.select("kind", "ord", "entity", word_text(F.col("entity")).alias("run")).filter("run <> ''")
-    lengths = sorted(r[0] for r in patterns.select(F.size(F.split("run", " "))).distinct().collect())
-    return word_runs(keywords, column, lengths).join(patterns, "run").select("row_id", "kind", "ord", "entity").distinct()
+    patterns = entities.withColumn("run", word_text(F.col("entity"))).filter("run <> ''")
+    sizes = patterns.groupBy(F.size(F.split("run", " ")).alias("words")).agg(F.count(F.lit(1)).alias("n")).collect()
+    few = sum(r.n for r in sizes) <= FEW_ENTITIES
+    patterns = F.broadcast(patterns) if few else patterns.hint("merge")
+    return word_runs(keywords, column, sorted(r.words for r in sizes)).join(patterns, "run").select("row_id", *entities.columns)
+
+
+def contained(keywords: DataFrame, entities: DataFrame, column: str = "keyword") -> DataFrame:
+    """(row_id, kind, ord, entity): every entity contained in each keyword; entities are (kind, ord, entity)."""
+    return _hits(keywords, entities.select("kind", "ord", "entity"), column).distinct()
 
 
 def first_match(found: DataFrame) -> DataFrame:
@@ -75,7 +84,7 @@ def resolve(keywords: DataFrame, entities: DataFrame, column: str = "keyword") -
     Entities are (kind, ord, entity, parent, evidence); parent is what a synonym stands for or the category a family or product belongs
     to, 'Unknown' where a family or product has none. A category of more evidence than ``STRONG_EVIDENCE`` has the higher score.
     """
-    found = contained(keywords, entities, column).join(entities.select("kind", "ord", "entity", "parent", "evidence"), ["kind", "ord", "entity"])
+    found = _hits(keywords, entities.select("kind", "ord", "entity", "parent", "evidence"), column)
     best = found.groupBy("row_id", "kind").agg(F.min(F.struct("ord", "entity", "parent", "evidence")).alias("_f"))
     score = F.lit(None).cast("double")
     for k, v in SCORES.items():

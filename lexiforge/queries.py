@@ -287,7 +287,7 @@ def _resolved(s, d):
     """Entities of all kinds: the list's brands, categories and short writings, families by the last word of a category, aliases as products."""
     terms = table(s, d, "canon_terms").select("term_id", "kind", "term_name", "short_forms")
     aliases = table(s, d, "fact_aliases")
-    seen = aliases.filter("base is not null").groupBy(F.col("base").alias("term_name")).agg(F.count(F.lit(1)).cast("double").alias("evidence"))
+    seen = aliases.join(F.broadcast(terms.select("term_name")), F.col("base") == F.col("term_name"), "left_semi").groupBy(F.col("base").alias("term_name")).agg(F.count(F.lit(1)).cast("double").alias("evidence"))
     none, zero = F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("evidence")
     named = terms.join(seen, "term_name", "left").select("kind", F.col("term_id").alias("ord"), F.col("term_name").alias("entity"), none, F.coalesce("evidence", F.lit(0.0)).alias("evidence"))
     short = terms.select(F.lit("synonym").alias("kind"), F.col("term_id").alias("ord"), F.explode("short_forms").alias("entity"), F.col("term_name").alias("parent"), zero)

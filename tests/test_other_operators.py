@@ -75,6 +75,25 @@ def test_resolvers_rule_engine_and_cascade(spark):
     assert match.cascade(kw.limit(0), ent.limit(0)).collect() == []
 
 
+def _stored(spark, tmp_path):
+    """Keywords and more entities than are broadcast, in files so small that the planner would broadcast anything made of them."""
+    spark.range(20).selectExpr("id as row_id", "concat('acme item', id, ' pro') as keyword").write.parquet(f"{tmp_path}/kw")
+    kind = "case when id = 0 then 'company' when id % 2 = 0 then 'brand' else 'product' end as kind"
+    spark.range(3000).selectExpr(kind, "id as ord", "concat('item', id) as entity", "'p' as parent", "1.0d as evidence").write.parquet(f"{tmp_path}/ent")
+    return spark.read.parquet(f"{tmp_path}/kw"), spark.read.parquet(f"{tmp_path}/ent")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resolve_broadcasts_no_side_that_grows(spark, tmp_path):
+    kw, ent = _stored(spark, tmp_path)
+    found = match.resolve(kw, ent.filter("kind <> 'company'"))
+    assert "BroadcastExchange" not in _plan(found)
+    assert {(r.row_id, r.kind, r.entity) for r in found.collect()} == {(i, "brand" if i % 2 == 0 else "product", f"item{i}") for i in range(1, 20)}
+
+
 def test_the_exact_median_is_found_in_ranges(spark):
     import random
     import statistics
