@@ -110,7 +110,8 @@ def rule_context(keywords: DataFrame, entities: DataFrame, company: str = "", co
         F.count_distinct("entity").alias("n_brands"), F.max(F.when(F.lower("entity") == company.lower(), F.col("entity"))).alias("_own")
     )
     parts = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k} '"), F.col(k), F.lit("'"))) for k in KINDS]
-    both = keywords.select("row_id").join(wide, "row_id", "left").join(brands, "row_id", "left")
+    # a row a keyword: sorted and merged, as what the planner takes for small is up to a row of every keyword
+    both = keywords.select("row_id").join(wide.hint("merge"), "row_id", "left").join(brands.hint("merge"), "row_id", "left")
     n = F.coalesce("n_brands", F.lit(0))
     made_by = F.when(F.coalesce("product", "family").isNotNull() & F.lit(company != ""), F.lit(company))
     return both.select(

@@ -94,6 +94,13 @@ def test_resolve_broadcasts_no_side_that_grows(spark, tmp_path):
     assert {(r.row_id, r.kind, r.entity) for r in found.collect()} == {(i, "brand" if i % 2 == 0 else "product", f"item{i}") for i in range(1, 20)}
 
 
+def test_rule_context_broadcasts_no_side_that_grows(spark, tmp_path):
+    kw, ent = _stored(spark, tmp_path)
+    told = match.rule_context(kw, ent.filter("kind <> 'company'"), "item4")
+    assert _plan(told).count("BroadcastExchange") <= 1  # the few brands
+    assert {r.row_id: r.brand for r in told.collect()} == {i: (f"item{i}" if i % 2 == 0 else "item4") if i else None for i in range(20)}
+
+
 def test_the_exact_median_is_found_in_ranges(spark):
     import random
     import statistics
