@@ -141,17 +141,17 @@ def cascade(keywords: DataFrame, entities: DataFrame, column: str = "keyword") -
     """
     levels = keywords.sparkSession.createDataFrame([(k, i, b, g, m) for i, (k, b, g, m) in enumerate(LEVELS, 1)], "kind string, level int, base int, growth int, most int")
     known = entities.join(F.broadcast(levels), "kind")
-    by_words = contained(keywords, known.filter("kind <> 'company'"), column)
-    names = [(r.ord, r.entity) for r in bounded_rows(known.filter("kind = 'company' and entity <> ''").select("ord", "entity"), MAX_COMPANIES, "the company names")]
-    found = by_words
+    hit = ("level", "kind", "ord", "entity", "confidence")
+    known = known.withColumn("confidence", F.least(F.col("most").cast("double"), F.col("base") + F.col("growth") * F.coalesce("evidence", F.lit(0.0)))).select(*hit)
+    found = _hits(keywords, known.filter("kind <> 'company'"), column)
+    names = bounded_rows(known.filter("kind = 'company' and entity <> ''"), MAX_COMPANIES, "the company names")
     if names:
-        listed = F.array(*[F.struct(F.lit(o).cast("long").alias("ord"), F.lit(e).alias("entity")) for o, e in sorted(names)])
+        kinds = {c: known.schema[c].dataType for c in hit}
+        listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in hit]) for r in names])
         text = keywords.select("row_id", F.lower(column).alias("_t"))
-        hit = F.filter(listed, lambda c: F.col("_t").contains(F.lower(c["entity"])))
-        found = found.unionByName(text.select("row_id", F.inline(hit)).withColumn("kind", F.lit("company")))
-    scored = found.join(known, ["kind", "ord", "entity"])
-    confidence = F.least(F.col("most").cast("double"), F.col("base") + F.col("growth") * F.coalesce("evidence", F.lit(0.0)))
-    best = scored.groupBy("row_id").agg(F.min(F.struct("level", "ord", "entity", "kind", confidence.alias("confidence"))).alias("_f"))
+        found = found.unionByName(text.select("row_id", F.inline(F.filter(listed, lambda c: F.col("_t").contains(F.lower(c["entity"]))))))
+    best = found.groupBy("row_id").agg(F.min(F.struct("level", "ord", "entity", "kind", "confidence")).alias("_f"))
+    best = best.hint("merge")  # up to a row of every keyword
     return keywords.select("row_id").join(best, "row_id", "left").select(
         "row_id", "_f.level", "_f.kind", "_f.entity",
         F.when(F.col("_f").isNull(), "UNCERTAIN").otherwise("RELEVANT").alias("relevance"), F.coalesce("_f.confidence", F.lit(0.0)).alias("confidence"),

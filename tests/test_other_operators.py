@@ -101,6 +101,14 @@ def test_rule_context_broadcasts_no_side_that_grows(spark, tmp_path):
     assert {r.row_id: r.brand for r in told.collect()} == {i: (f"item{i}" if i % 2 == 0 else "item4") if i else None for i in range(20)}
 
 
+def test_cascade_broadcasts_no_side_that_grows(spark, tmp_path):
+    kw, ent = _stored(spark, tmp_path)
+    found = match.cascade(kw, ent.withColumn("evidence", F.when(F.col("ord") == 2, 3.0)))
+    assert _plan(found).count("BroadcastExchange") <= 1  # the levels
+    got = {r.row_id: (r.level, r.entity, r.confidence) for r in found.collect()}
+    assert got[0] == (1, "item0", 99.0) and got[2] == (3, "item2", 85.0) and got[3] == (4, "item3", 65.0) and len(got) == 20
+
+
 def test_the_exact_median_is_found_in_ranges(spark):
     import random
     import statistics
