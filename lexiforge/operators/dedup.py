@@ -2,6 +2,8 @@
 
 Edges run between distinct strings, never between rows. Fuzzy pairs are sought among all pairs of a first letter, in tiles of
 bounded size, so no task holds a whole block and only pairs that reach the threshold leave a tile; components are found by label propagation over DataFrames with the lineage cut in the shared folder.
+Tables of strings and edges are joined by sorting: their size in memory is many times what the planner reckons from the compressed file, so
+what it would broadcast may not fit the driver. Only the blocks, one row a first letter, are broadcast.
 
 Null keywords are no duplicates. Ties are broken by length, then by the string. Empty inputs give empty results.
 """
@@ -37,7 +39,7 @@ def normalised_edges(df: DataFrame, column: str = "keyword", order: str = "row_i
     keyed = strings.withColumn("_key", light_key(column))
     canon = keyed.groupBy("_key").agg(F.min_by(column, "_first").alias("src"), F.count(F.lit(1)).alias("_strings")).filter("_strings > 1")
     return (
-        keyed.join(canon, "_key")
+        keyed.join(canon.hint("merge"), "_key")
         .filter(F.col(column) != F.col("src"))
         .select("src", F.col(column).alias("dst"), F.lit("normalized").alias("strategy"), F.lit(95.0).alias("confidence"), "n")
     )
@@ -67,7 +69,7 @@ def fuzzy_edges(strings: DataFrame, threshold: float = THRESHOLD, column: str =
     blocks = cut(s.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("m")))
     n_tiles = blocks.agg(F.sum(F.expr("m * (m + 1L) / 2")).cast("long")).first()[0] or 1
     tiles = (
-        s.join(blocks, "block")
+        s.join(F.broadcast(blocks), "block")
         .withColumn("part", F.pmod(F.xxhash64("s"), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         .select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "s")
@@ -88,11 +90,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")).select(F.col("src").alias("node"), "label"))
     while True:  # labels only fall, so it ends; the distance left halves each round
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
+        near = both.join(labels.hint("merge"), both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         hop = labels.select(F.col("node").alias("_n"), F.col("label").alias("hop"))
         stepped = (
-            labels.join(near, labels.node == near.src, "left")
-            .join(hop, labels.label == hop["_n"], "left")
+            labels.join(near.hint("merge"), labels.node == near.src, "left")
+            .join(hop.hint("merge"), labels.label == hop["_n"], "left")
             .select("node", F.least("label", F.coalesce("near", "label"), F.coalesce("hop", "label")).alias("label"), F.col("label").alias("_old"))
         )
         stepped = cut(stepped)
@@ -112,11 +114,11 @@ def groups(edges: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_size: i
     label = cut(components(strong))
     weight = (
         strong.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
-        .join(label.select(F.col("node").alias("src"), "label"), "src")
+        .join(label.select(F.col("node").alias("src"), "label").hint("merge"), "src")
         .groupBy("label").agg(F.round(F.avg("confidence"), 6).alias("confidence"))
     )
     elected = label.groupBy("label").agg(F.min(F.struct(F.length("node").alias("n"), F.col("node"))).alias("best")).select("label", F.col("best.node").alias("canonical"))
-    out = label.join(elected, "label").join(weight, "label").select(F.col("label").alias("group_id"), "canonical", F.col("node").alias("member"), "confidence")
+    out = label.join(elected.hint("merge"), "label").join(weight.hint("merge"), "label").select(F.col("label").alias("group_id"), "canonical", F.col("node").alias("member"), "confidence")
     if max_size is None:
         return out
     from pyspark.sql import Window
@@ -142,11 +144,16 @@ def dedup_statistics(edges: DataFrame, marked: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def detect(df: DataFrame, column: str = "keyword", order: str = "row_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All strategies in order of priority: strings resolved by an earlier one are left out of the later ones. (edges, marked)."""
+def all_edges(df: DataFrame, column: str = "keyword", order: str = "row_id", threshold: float = THRESHOLD) -> DataFrame:
+    """Edges of all strategies in order of priority: strings resolved by an earlier one are left out of the later ones."""
     exact = exact_edges(df, column)
     norm = cut(normalised_edges(df, column, order))
-    left = df.select(column).filter(F.col(column).isNotNull()).distinct().join(norm.select(F.col("dst").alias(column)), column, "left_anti")
+    left = df.select(column).filter(F.col(column).isNotNull()).distinct().join(norm.select(F.col("dst").alias(column)).hint("merge"), column, "left_anti")
     fuzzy = fuzzy_edges(left, threshold, column).withColumn("n", F.lit(1).cast("long"))
-    edges = cut(exact.unionByName(norm).unionByName(fuzzy))
+    return cut(exact.unionByName(norm).unionByName(fuzzy))
+
+
+def detect(df: DataFrame, column: str = "keyword", order: str = "row_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All edges, and all rows marked by their groups: (edges, marked)."""
+    edges = all_edges(df, column, order, threshold)
     return edges, mark_status(df, groups(edges), column, order)

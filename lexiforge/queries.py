@@ -132,8 +132,7 @@ def dedup_fuzzy_edges(s, d):
 
 
 def dedup_groups(s, d):
-    edges, _ = dedup.detect(_part_keywords(s, d))
-    return dedup.groups(edges).select("canonical", "member")
+    return dedup.groups(dedup.all_edges(_part_keywords(s, d))).select("canonical", "member")
 
 
 def dedup_status(s, d):
@@ -153,8 +152,7 @@ def keyword_fuzzy_edges(s, d):
 
 
 def keyword_groups(s, d):
-    edges, _ = dedup.detect(_kw(s, d))
-    return dedup.groups(edges).select("canonical", "member")
+    return dedup.groups(dedup.all_edges(_kw(s, d))).select("canonical", "member")
 
 
 def keyword_status(s, d):

@@ -71,3 +71,12 @@ def test_queries_cover_the_whole_keyword_table(spark):
     near = lambda a, b: a[0].lower() == b[0].lower() and 2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b)) and ratio(a, b) >= 90
     want = {(a, b) for a, b in itertools.combinations(words, 2) if near(a, b)}
     assert {(r.src, r.dst) for r in queries.keyword_fuzzy_edges(spark, d).collect()} == want and want
+
+
+def test_groups_are_found_once(spark, monkeypatch):
+    from lexiforge import queries
+
+    calls = []
+    components = dedup.components
+    monkeypatch.setattr(dedup, "components", lambda e: calls.append(1) or components(e))
+    assert queries.dedup_groups(spark, "/root/testdata/sf0.001").count() >= 0 and len(calls) == 1
