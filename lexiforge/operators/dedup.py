@@ -131,8 +131,8 @@ def mark_status(df: DataFrame, grouped: DataFrame, column: str = "keyword", orde
     """Adds status ACTIVE or DUPLICATE and the group's id; all rows stay. Non-first rows and non-canonical members are duplicates."""
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
     member = grouped.select(F.col("member").alias(column), "group_id", (F.col("member") != F.col("canonical")).alias("_other"))
-    strings = first.join(member, column, "left")  # one row a string
-    out = join_unique(df, strings, column)
+    strings = first.join(member.hint("merge"), column, "left")  # one row a string
+    out = join_unique(df, strings, column, hint="merge")
     dup = (F.col(order) != F.col("_first")) | F.coalesce("_other", F.lit(False))
     return out.withColumn("status", F.when(dup, "DUPLICATE").otherwise("ACTIVE")).drop("_first", "_other")
 

@@ -67,11 +67,11 @@ def ship(spark: SparkSession) -> None:
 HOT_ROWS, HOT_KEYS = 100_000, 1_000
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, hint: str | None = None) -> DataFrame:
     """Left join with a table that has one row a key, where a key, or null, may hold a large part of the left rows.
 
     Keys with more than ``hot_rows`` rows and a thousandth of all rows, at most ``HOT_KEYS`` of them, are joined by broadcast; rows with a null key
-    aren't joined at all; the rest is left to the planner. No row is dropped, and no task gets all rows of a hot key.
+    aren't joined at all; the rest is joined as ``hint`` says or left to the planner. No row is dropped, and no task gets all rows of a hot key.
     """
     from pyspark.sql import functions as F
 
@@ -83,9 +83,10 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT
     none = left.filter(F.col(key).isNull()).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rest])
     told = left.filter(F.col(key).isNotNull())
     columns = [*left.columns, *rest]
+    hinted = right.hint(hint) if hint else right
     if not hot:
-        return told.join(right, key, "left").select(columns).unionByName(none)
+        return told.join(hinted, key, "left").select(columns).unionByName(none)
     few = F.broadcast(spark.createDataFrame([(h,) for h in hot], left.select(key).schema))
     warm = told.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, "left")
-    cold = told.join(few, key, "left_anti").join(right, key, "left")
+    cold = told.join(few, key, "left_anti").join(hinted, key, "left")
     return warm.select(columns).unionByName(cold.select(columns)).unionByName(none)

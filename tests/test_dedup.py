@@ -73,6 +73,22 @@ def test_queries_cover_the_whole_keyword_table(spark):
     assert {(r.src, r.dst) for r in queries.keyword_fuzzy_edges(spark, d).collect()} == want and want
 
 
+def test_no_table_of_strings_is_broadcast(spark, tmp_path, monkeypatch):
+    """The stored table is so small that the planner would broadcast it and all that is made of it."""
+    words = ["Green Hat", "green  hat", "green hats", "blue coat of wool", "blue coat of wools", "red shoe"]
+    frame(spark, [words[i % 6] + " x" * (i // 6) for i in range(60)]).coalesce(1).write.parquet(f"{tmp_path}/kw")
+    df = spark.read.parquet(f"{tmp_path}/kw")
+    plans = []
+    seen = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d)
+    cut = dedup.cut
+    monkeypatch.setattr(dedup, "cut", seen)
+    edges, marked = dedup.detect(df)
+    plans += [d._jdf.queryExecution().executedPlan().toString() for d in (marked, dedup.groups(edges))]
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert [p for p in plans if "BroadcastExchange" in p and "FlatMapGroupsInPandas" not in p] == []  # the tiles' blocks are few
+    assert {r.row_id: r.status for r in marked.filter("row_id < 6").collect()} == {0: "ACTIVE", 1: "DUPLICATE", 2: "DUPLICATE", 3: "ACTIVE", 4: "DUPLICATE", 5: "ACTIVE"}
+
+
 def test_groups_are_found_once(spark, monkeypatch):
     from lexiforge import queries
 
