@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.operators.nearpairs import near_pairs
-from lexiforge.runtime import cut, join_unique
+from lexiforge.runtime import cut_unsized as cut
+from lexiforge.runtime import join_unique
 
 THRESHOLD, MIN_CONFIDENCE, MAX_GROUP = 90.0, 80.0, 50
 TILE, MAX_TASKS = 10_000, 2_000

@@ -36,6 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_unsized(df: DataFrame) -> DataFrame:
+    """``cut``, and forget what size the planner reckoned for ``df``.
+
+    A checkpoint keeps the reckoned size, and a join's is the product of its sides'. In a loop of joins the number of its digits is multiplied
+    each round, until the driver is full of digits. Partitioning and order are kept.
+    """
+    done = cut(df)
+    plan, session = done._jdf.queryExecution().logical(), df.sparkSession
+    jvm = session._jvm
+    none = getattr(jvm.scala, "None$").__getattr__("MODULE$")
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, bare), session)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a reference table whose size is bounded by contract; more rows are an error, never cut."""
     rows = df.limit(limit + 1).collect()

@@ -96,3 +96,15 @@ def test_groups_are_found_once(spark, monkeypatch):
     components = dedup.components
     monkeypatch.setattr(dedup, "components", lambda e: calls.append(1) or components(e))
     assert queries.dedup_groups(spark, "/root/testdata/sf0.001").count() >= 0 and len(calls) == 1
+
+
+def test_the_reckoned_size_stays_short_over_the_rounds(spark, monkeypatch):
+    """Joins multiply the sizes of their sides; carried from round to round, the number filled the driver's heap."""
+    edges = spark.createDataFrame([(f"a{i:03}", f"a{i + 1:03}", 90.0, "t") for i in range(200)], "src string, dst string, confidence double, strategy string")
+    sizes = []
+    cut = dedup.cut
+    size = lambda d: d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    monkeypatch.setattr(dedup, "cut", lambda d: sizes.append(size(o := cut(d))) or o)
+    labels = dedup.components(edges)
+    assert {r.label for r in labels.collect()} == {"a000"} and len(sizes) > 5
+    assert max(sizes) < 1_000
