@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators.nearpairs import near_pairs
 from lexiforge.runtime import cut_unsized as cut
-from lexiforge.runtime import join_unique
+from lexiforge.runtime import forget, join_unique
 
 THRESHOLD, MIN_CONFIDENCE, MAX_GROUP = 90.0, 80.0, 50
-TILE, MAX_TASKS = 10_000, 2_000
+TILE, MAX_TASKS = 30_000, 2_000
 
 
 def exact_edges(df: DataFrame, column: str = "keyword") -> DataFrame:
@@ -85,12 +85,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for the nodes of edges between different strings.
 
     Each round takes the least label over the neighbours and then follows the label's own label, which halves the
-    distance left; hubs are reduced on the map side.
+    distance left; hubs are reduced on the map side. The rounds run over numbers in the order of the strings, so that each
+    writes little, and what a round no longer needs is dropped before the next.
     """
+    spark = edges.sparkSession
     pairs = edges.filter("src <> dst").select("src", "dst")
-    both = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    names = pairs.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    names = cut(names.orderBy("name").select("name", F.monotonically_increasing_id().alias("id")))
+    number = lambda c: names.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id")).hint("merge")
+    ends = pairs.join(number("src"), "src").join(number("dst"), "dst")
+    both = cut(ends.select(F.explode(F.expr("array(struct(src_id AS src, dst_id AS dst), struct(dst_id AS src, src_id AS dst))")).alias("e")).select("e.*").distinct())
     labels = cut(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")).select(F.col("src").alias("node"), "label"))
-    while True:  # labels only fall, so it ends; the distance left halves each round
+    changed = True
+    while changed:  # labels only fall, so it ends; the distance left halves each round
         near = both.join(labels.hint("merge"), both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         hop = labels.select(F.col("node").alias("_n"), F.col("label").alias("hop"))
         stepped = (
@@ -101,8 +108,10 @@ def components(edges: DataFrame) -> DataFrame:
         stepped = cut(stepped)
         changed = not stepped.filter("label <> _old").isEmpty()
         labels = stepped.drop("_old")
-        if not changed:
-            return labels
+        del near, hop, stepped
+        forget(spark)
+    told = labels.join(names.select(F.col("id").alias("node"), "name").hint("merge"), "node").select(F.col("name").alias("node"), "label")
+    return told.join(names.select(F.col("id").alias("label"), "name").hint("merge"), "label").select("node", F.col("name").alias("label"))
 
 
 def groups(edges: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_size: int | None = None) -> DataFrame:
@@ -151,7 +160,10 @@ def all_edges(df: DataFrame, column: str = "keyword", order: str = "row_id", thr
     norm = cut(normalised_edges(df, column, order))
     left = df.select(column).filter(F.col(column).isNotNull()).distinct().join(norm.select(F.col("dst").alias(column)).hint("merge"), column, "left_anti")
     fuzzy = fuzzy_edges(left, threshold, column).withColumn("n", F.lit(1).cast("long"))
-    return cut(exact.unionByName(norm).unionByName(fuzzy))
+    edges = cut(exact.unionByName(norm).unionByName(fuzzy))
+    del exact, norm, left, fuzzy
+    forget(df.sparkSession)
+    return edges
 
 
 def detect(df: DataFrame, column: str = "keyword", order: str = "row_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -50,6 +51,15 @@ def cut_unsized(df: DataFrame) -> DataFrame:
     return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, bare), session)
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop the shuffle files and checkpoints that no DataFrame refers to any more.
+
+    Spark drops them when the driver happens to collect its garbage, which a driver with little to do does once in half an hour.
+    """
+    gc.collect()  # proxies of the JVM's objects that stand in cycles
+    spark._jvm.System.gc()
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a reference table whose size is bounded by contract; more rows are an error, never cut."""
     rows = df.limit(limit + 1).collect()

@@ -108,3 +108,15 @@ def test_the_reckoned_size_stays_short_over_the_rounds(spark, monkeypatch):
     labels = dedup.components(edges)
     assert {r.label for r in labels.collect()} == {"a000"} and len(sizes) > 5
     assert max(sizes) < 1_000
+
+
+def test_the_rounds_run_over_numbers(spark, monkeypatch):
+    """Tables of strings, written in every round, filled the disk and the driver with them; only the names are written once."""
+    names = ["b", "B", "é", "ab", "a b", "zz", "😀", "", "c"]
+    edges = spark.createDataFrame([(a, b, 90.0, "t") for a, b in [("b", "B"), ("é", "B"), ("zz", "ab"), ("a b", "zz"), ("😀", ""), ("c", "c")]], "src string, dst string, confidence double, strategy string")
+    kinds = []
+    cut = dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda d: kinds.append([t for _, t in d.dtypes]) or cut(d))
+    labels = {r.node: r.label for r in dedup.components(edges).collect()}
+    assert labels == {"b": "B", "B": "B", "é": "B", "zz": "a b", "ab": "a b", "a b": "a b", "😀": "", "": ""} and set(labels) < set(names)
+    assert len(kinds) > 3 and sum("string" in k for k in kinds) == 1
