@@ -22,8 +22,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
-from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,7 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SILENT = re.compile(r"<!--.*?-->|<(script|style|template|svg)\b.*?</\1\s*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
 NUMBER = re.compile(r"""data-n\s*=\s*["']?(\d+)""")
+DIGITS = re.compile(r"\d+")
 STEP = re.compile(r"\s[>»›/]\s")
 STYLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HREF = re.compile(r"""\bhref\s*=\s*["']?([^"'\s>?#]*)""", re.I)
@@ -63,6 +64,13 @@ class Block:
         self.href = ""
 
 
+@lru_cache(20_000)  # the pages of a site open the same containers
+def _path(path: int, name: str, attrs: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(f"{path}/{name}" + "".join(f".{x or y or z}" for x, y, z in STYLE.findall(attrs)))
+
+
 def read_blocks(html: str) -> list[Block]:
     """The numbered blocks of a page in order, each with the branch it belongs to and a hash of its container's path.
 
@@ -71,28 +79,19 @@ def read_blocks(html: str) -> list[Block]:
     """
     text = SILENT.sub(" ", html)
     blocks: list[Block] = []
-    from xxhash import xxh64_intdigest
-
     stack: list[tuple[str, tuple[int, int], int]] = []
     branch, path, containers = (0, 0), 0, 0
     headings: dict[int, int] = {}
     block: Block | None = None
     link = 0
-    at = 0
-    for m in chain(TAG.finditer(text), (None,)):  # the last round takes the text behind the last tag
-        b, e = m.span() if m else (len(text), len(text))
-        if b > at and block is not None:
-            s = text[at:b]
-            if not s.isspace():
-                block.parts.append(s)
-                if link:
-                    block.linked += len(s)
-                else:
-                    block.plain += len(s)
-        if m is None:
-            break
-        at = e
-        closing, name, attrs = m.groups()
+    parts = TAG.split(text)
+    for s, closing, name, attrs in zip(parts[::4], [*parts[1::4], ""], [*parts[2::4], ""], [*parts[3::4], ""]):  # a text and the tag behind it
+        if s and block is not None and not s.isspace():
+            block.parts.append(s)
+            if link:
+                block.linked += len(s)
+            else:
+                block.plain += len(s)
         name = name.lower()
         if closing:
             if name == "a":
@@ -125,7 +124,7 @@ def read_blocks(html: str) -> list[Block]:
             if name not in INNER or not stack[:-1]:
                 containers += 1
                 branch = (containers, 0)
-                path = xxh64_intdigest(f"{path}/{name}" + "".join(f".{x or y or z}" for x, y, z in STYLE.findall(attrs)))
+                path = _path(path, name, attrs)
     return blocks
 
 
@@ -134,16 +133,41 @@ def site_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
+def _hashed(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text) - (1 << 63)
+
+
+@lru_cache(1_000)
+def _label(host: str) -> str:
+    label = max(re.sub(r"^www\.", "", host).split(".")[:-1], key=len, default="")
+    return label if len(label) > 3 else ""
+
+
+@lru_cache(50_000)  # furniture recurs on page after page
+def _text_key(text: str, label: str) -> int:
+    """A hash of the text without digits and the site's label."""
+    if label and (label in text.lower() or not text.isascii() or not label.isascii()):
+        text = re.sub(re.escape(label), "@", text, flags=re.I)
+    masked = text.lower()
+    if masked.count(" ") > 2:
+        masked = DIGITS.sub("#", masked)
+    # a path begins with a page that many paths begin with, and the menu names it too
+    return _hashed(STEP.split(masked, maxsplit=1)[0])
+
+
+@lru_cache(50_000)
+def _place(href: str) -> int:
+    return _hashed("@" + DIGITS.sub("#", href))
+
+
 def features(html: str, host: str) -> list[tuple]:
     """(block_no, key, element, place, words, flags, container, heading, tag) of the blocks with text.
 
     key is a hash of the text without digits and site name, element one of the container's path, place what the block's link leads to, or the key.
     """
-    from xxhash import xxh64_intdigest
-
-    hashed = lambda t: xxh64_intdigest(t) - (1 << 63)
-    label = max(re.sub(r"^www\.", "", host).split(".")[:-1], key=len, default="")
-    site = re.compile(re.escape(label), re.I) if len(label) > 3 else None
+    label = _label(host)
     out = []
     for blk in read_blocks(html):
         text = " ".join("".join(blk.parts).split())
@@ -156,13 +180,8 @@ def features(html: str, host: str) -> list[tuple]:
             flags |= ANCHORED
         if blk.tag in HEADINGS:
             flags |= TOP_HEADING if blk.tag == "h1" else HEADING
-        masked = site.sub("@", text) if site else text
-        masked = masked.lower()
-        if masked.count(" ") > 2:
-            masked = re.sub(r"\d+", "#", masked)
-        # a path begins with a page that many paths begin with, and the menu names it too
-        key = hashed(STEP.split(masked, maxsplit=1)[0])
-        place = hashed("@" + re.sub(r"\d+", "#", blk.href)) if flags & ANCHORED and blk.href else key
+        key = _text_key(text, label)
+        place = _place(blk.href) if flags & ANCHORED and blk.href else key
         out.append((blk.no, key, blk.path - (1 << 63), place, text.count(" ") + 1, flags, *blk.branch, blk.tag))
     return out
 
@@ -265,6 +284,7 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(20_000)  # shares are quotients of counts of pages
 def importance(share: float) -> float:
     """1 - H of a node on this share of the pages of a tree."""
     return min(1.0, -math.log(max(share, 1e-9)) / math.log(TREE_PAGES))
@@ -273,10 +293,7 @@ def importance(share: float) -> float:
 def keep_blocks(nos, keys, elements, words, flags, branches, tree: tuple, all_share: dict, heads: dict) -> list[int]:
     """Numbers of the blocks of the main body; tree is (pages of the host, key -> pages, element -> (pages, composite importance))."""
     host_pages, host_df, host_elements = tree
-    leaf = []
-    for k in keys:
-        share = (max(0, host_df.get(k, 1) - 1) + PRIOR_PAGES * all_share.get(k, 0.0)) / (host_pages + PRIOR_PAGES)
-        leaf.append(importance(share))
+    leaf = [importance((max(0, host_df.get(k, 1) - 1) + PRIOR_PAGES * all_share.get(k, 0.0)) / (host_pages + PRIOR_PAGES)) for k in keys]
     stays = [i >= LEAF + (LONG_LEAF - LEAF) * (1 - 1 / w) for i, w in zip(leaf, words)]  # sentences repeat by chance less than cells do
     # a text that is a heading on other pages opens a branch too, whatever its element is here
     parts, opened, last = [], 0, None

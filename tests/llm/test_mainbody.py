@@ -92,3 +92,17 @@ def test_odd_pages(spark):
 def test_untidy_markup_is_read():
     html = "<div><p data-n=1>one<p data-n=2>two <a href='/x'>link</a><ul><li data-n=3>three</ul></div><td data-n=4>four"
     assert [(b.no, " ".join("".join(b.parts).split()), b.linked > 0) for b in mainbody.read_blocks(html)] == [(1, "one", False), (2, "two link", True), (3, "three", False), (4, "four", False)]
+
+
+def test_texts_and_containers_that_recur_are_read_once():
+    """Every page of a site used to have its menu masked and its containers' paths hashed again."""
+    page = lambda i: f"<body><div class='Menu'><a href='/p/{i}?x=1' data-n=1>Foobar news 1 2 3 today</a></div><p data-n=2>Text {i} of FOOBAR, four words</p></body>"
+    mainbody._path.cache_clear()
+    mainbody._text_key.cache_clear()
+    got = [mainbody.features(page(i), "www.foobar.com") for i in range(40)]
+    assert mainbody._path.cache_info().misses == 2 and mainbody._text_key.cache_info().misses == 41
+    # digits and the site's name are masked, in any case of its letters, and for other sites it is a word
+    assert len({x[0][1] for x in got}) == len({x[1][1] for x in got}) == len({x[0][3] for x in got}) == 1
+    assert mainbody._text_key("FOOBAR é news of 12 days", "foobar") == mainbody._text_key("foobar É news of 7 days", "foobar") != mainbody._text_key("FOOBAR é news of 12 days", "")
+    assert mainbody._text_key("Koobar é", "koobar") == mainbody._text_key("@ é", "koobar")
+    assert [b.parts for b in mainbody.read_blocks("before<p data-n=1>a<b>c</b> </p>out<p data-n=2>behind the last tag")] == [["a", "c"], ["behind the last tag"]]
